@@ -240,14 +240,18 @@ def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def match_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each event against the three before it of the same user."""
-    events = events_k(spark, sf)
     order = Window.partitionBy("user_id").orderBy("ts")
+    before = {f"{c}_{n}": F.lag(c, n).over(order) for n in (1, 2, 3) for c in ("event_id", "ts")}
     seen = lambda n: F.struct(
-        F.lag("event_id", n).over(order).alias("other"),
-        F.lag("ts", n).over(order).alias("at"),
-        ((F.col("k") * n) % 10 / 10).alias("similarity"),
+        F.col(f"event_id_{n}").alias("other"),
+        F.col(f"ts_{n}").alias("at"),
+        ((F.col("k") * n) % 10 / F.lit(10.0)).alias("similarity"),
+    )
+    pairs = (
+        events_k(spark, sf)
+        .withColumns(before)
+        .select("event_id", F.explode(F.array(seen(1), seen(2), seen(3))).alias("p"))
     )
-    pairs = events.select("event_id", F.explode(F.array(seen(1), seen(2), seen(3))).alias("p"))
     return pairs.filter("p.other IS NOT NULL").select(
         F.col("event_id").alias("job_id"),
         F.col("p.other").alias("match_job_id"),

@@ -191,7 +191,7 @@ def latest_prediction_id(spark, sf):
 def publish_postings(spark, sf):
     path = scratch(spark)
     rows = so.normalize_posting(fx.postings(spark, sf).withColumn("timestamp", F.col("event_timestamp")).drop("created_at"))
-    sk.publish_postings(rows, "json", path=path)
+    sk.publish_postings(rows, "json", {"path": path})
     back = spark.read.schema("key string, value string").json(path)
     return back.select("key", F.get_json_object("value", "$.title").alias("title"))
 
@@ -254,8 +254,8 @@ def processed_event(spark, sf):
 def emit_corrections(spark, sf):
     path, now = scratch(spark), fx.as_of(spark, sf)
     fixed = pr.apply_corrections(fx.predictions(spark, sf), fx.memberships(spark, sf), now)
-    sk.emit_corrections(pr.correction_events(fixed, now), path, 0, "json", path=path + "-topic")
-    return spark.read.schema(schemas.CORRECTION).parquet(path)
+    sk.emit_corrections(pr.correction_events(fixed, now), path, 0, "json", {"path": path + "-topic"})
+    return spark.read.schema(schemas.CORRECTION).parquet(f"{path}/*/*")
 
 
 @query
@@ -465,12 +465,21 @@ def train(spark, sf):
     return spark.createDataFrame([(n, s, n == best.name) for n, s in best.scores.items()], "model string, f1 double, champion boolean")
 
 
+def _model(rows: DataFrame) -> mo.PipelineModel:
+    rows = rows.select("combined_text", *mo.NUMBERS, "fraudulent").persist()
+    vectorizer = mo.fit_tfidf(rows)
+    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features").persist()
+    try:
+        return mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready, max_iter=50).stages])
+    finally:
+        ready.unpersist()
+        rows.unpersist()
+
+
 @query
 def score(spark, sf):
     rows = fe.training_features(fx.training(spark, sf))
-    vectorizer = mo.fit_tfidf(rows)
-    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features")
-    model = mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready).stages])
+    model = _model(rows)
     path = scratch(spark)
     sk.save_model(model, path)
     return mo.score(rows, sk.load_model(path)).select("job_id", "fraudulent", "prediction", "confidence")
@@ -940,9 +949,7 @@ def alert_stream(spark, sf):
 def score_stream(spark, sf):
     path = scratch(spark)
     rows = fe.training_features(fx.training(spark, sf))
-    vectorizer = mo.fit_tfidf(rows)
-    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features")
-    model = mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready).stages])
+    model = _model(rows)
     _messages(spark, sf).select("value").write.text(f"{path}/in")
     stream = ss.read_postings_stream(spark, "text", f"{path}/in", maxFilesPerTrigger="4")
     st.score_stream(stream, model, f"{path}/tables", available_now=True).awaitTermination()

@@ -57,11 +57,17 @@ def deduplicated(postings: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+def _stages(model: PipelineModel) -> list:
+    """All stages, those of nested pipelines too."""
+    nested = [_stages(s) if isinstance(s, PipelineModel) else [s] for s in model.stages]
+    return [stage for group in nested for stage in group]
+
+
 def model_terms(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """Vocabulary of a fitted model as a table for ``assign_clusters``; its size is
     the model's max_features."""
-    counter = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
-    scale = next(s for s in model.stages if isinstance(s, ElementwiseProduct))
+    counter = next(s for s in _stages(model) if isinstance(s, CountVectorizerModel))
+    scale = next(s for s in _stages(model) if isinstance(s, ElementwiseProduct))
     rows = [(t, i, float(w)) for i, (t, w) in enumerate(zip(counter.vocabulary, scale.getScalingVec().toArray()))]
     return spark.createDataFrame(rows, "term string, term_index int, idf double")
 
@@ -158,7 +164,7 @@ class BatchWriter:
             letters = bad.select("job_id", "title", "raw_value")
             write_dead_letters(letters, tables.path("dead_letters"), "parse", "malformed JSON", batch_id)
         if self.processed_format:
-            publish(processed_event(mine), "id", self.processed_format, **self.processed_options)
+            publish(processed_event(mine), "id", self.processed_format, self.processed_options)
         self._measure(mine, bad, now, inserted_at, batch_id)
 
     def _correct(self, mine: DataFrame, now: datetime, batch_id: int) -> None:
