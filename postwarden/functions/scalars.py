@@ -6,10 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Accepted time text and boolean words.
+# Accepted time text, white space and boolean words.
 ISO_TIME = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TRUE_WORDS = ("1", "true", "yes", "on")
 FALSE_WORDS = ("0", "false", "no", "off")
 
@@ -20,7 +24,12 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing white space of any kind."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
+def has_text(c: Column | str) -> Column:
+    """Anything but white space; stops at the first such character."""
+    return F.coalesce(col(c).rlike(r"\S"), F.lit(False))
 
 
 def non_blank(c: Column | str) -> Column:

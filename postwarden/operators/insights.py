@@ -170,37 +170,54 @@ def correction_event_summary(corrections: DataFrame, newest: int = 35, least: in
 
 def live_fraud_feed(corrections: DataFrame, k: int = 20, newest: int = 35) -> DataFrame:
     """Messages about the newest corrections: each one, clusters with three or more,
-    and the newest score of 0.9 or higher. Input: corrections_with_jobs."""
+    and the newest score of 0.9 or higher. Input: corrections_with_jobs.
+
+    The three kinds come from one pass over the newest rows; the windows span
+    these ``newest`` rows only.
+    """
     recent = corrections.orderBy(F.desc("updated_at"), "job_id").limit(newest)
+    clustered = or_blank("cluster_id") != ""
+    place = Window.partitionBy("cluster_id").orderBy(F.desc("updated_at"), "job_id")
+    high = F.col("new_score") >= 0.9
+    order = Window.orderBy(F.desc("updated_at"), "job_id")
+    marked = recent.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(Window.partitionBy("cluster_id")),
+            "_first": clustered & (F.row_number().over(place) == 1),
+            "_top": high & (F.sum(F.when(high, 1).otherwise(0)).over(order.rowsBetween(
+                Window.unboundedPreceding, 0)) == 1),
+        }
+    )
     upgraded = F.col("correction_type") == UPGRADE
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    single = recent.select(
-        F.concat(F.lit("event-job-"), "job_id", F.lit("-"), stamp("updated_at")).alias("id"),
-        F.col("updated_at").alias("timestamp"),
-        F.when(
-            upgraded,
-            F.concat(
-                F.lit("Job upgraded to FRAUD ("), F.coalesce("cluster_id", F.lit("cluster spike")), F.lit(")")
-            ),
-        )
-        .otherwise(F.concat(F.lit("Risk increase applied for "), "job_title"))
-        .alias("message"),
-        F.when(upgraded, "critical").otherwise("warning").alias("tone"),
+    stamp = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    def event(kind: str, subject: str, message: Column, tone: Column) -> Column:
+        name = F.concat(F.lit(f"event-{kind}-"), F.col(subject), F.lit("-"), stamp)
+        return F.struct(name.alias("id"), message.alias("message"), tone.alias("tone"))
+
+    upgrade_text = F.concat(
+        F.lit("Job upgraded to FRAUD ("), F.coalesce("cluster_id", F.lit("cluster spike")), F.lit(")")
     )
-    grouped = correction_event_summary(corrections, newest).select(
-        F.concat(F.lit("event-cluster-"), "cluster_id", F.lit("-"), stamp("latest_at")).alias("id"),
-        F.col("latest_at").alias("timestamp"),
-        F.concat(F.col("count").cast("string"), F.lit(" jobs corrected in "), "cluster_id").alias("message"),
-        F.lit("critical").alias("tone"),
+    single = event(
+        "job",
+        "job_id",
+        F.when(upgraded, upgrade_text).otherwise(F.concat(F.lit("Risk increase applied for "), "job_title")),
+        F.when(upgraded, "critical").otherwise("warning"),
+    )
+    grouped = event(
+        "cluster",
+        "cluster_id",
+        F.concat(F.col("_n").cast("string"), F.lit(" jobs corrected in "), "cluster_id"),
+        F.lit("critical"),
+    )
+    pattern = event(
+        "pattern",
+        "job_id",
+        F.concat(F.lit("High-risk pattern detected in "), F.coalesce("cluster_id", F.lit("active cluster"))),
+        F.lit("warning"),
     )
-    high = recent.filter(F.col("new_score") >= 0.9).orderBy(F.desc("updated_at"), "job_id").limit(1)
-    pattern = high.select(
-        F.concat(F.lit("event-pattern-"), "job_id", F.lit("-"), stamp("updated_at")).alias("id"),
-        F.col("updated_at").alias("timestamp"),
-        F.concat(
-            F.lit("High-risk pattern detected in "), F.coalesce("cluster_id", F.lit("active cluster"))
-        ).alias("message"),
-        F.lit("warning").alias("tone"),
+    events = F.array_compact(
+        F.array(single, F.when(F.col("_first") & (F.col("_n") >= 3), grouped), F.when(F.col("_top"), pattern))
     )
-    feed = single.unionByName(grouped).unionByName(pattern)
-    return feed.orderBy(F.desc("timestamp"), "id").limit(k)
+    feed = marked.select(F.col("updated_at").alias("timestamp"), F.explode(events).alias("event"))
+    return feed.select("event.id", "timestamp", "event.message", "event.tone").orderBy(F.desc("timestamp"), "id").limit(k)

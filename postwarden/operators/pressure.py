@@ -107,53 +107,82 @@ def _base() -> Column:
     return safe_double("original_score", base_score())
 
 
-def apply_corrections(
+def _judged(
     predictions: DataFrame,
     members: DataFrame,
-    as_of: Column | datetime | str | None = None,
-    config: Config = DEFAULT,
+    as_of: Column | datetime | str | None,
+    config: Config,
+    how: str,
 ) -> DataFrame:
-    """New versions of the predictions that the present pressure corrects.
-
-    All input columns, updated, plus ``old_score`` and ``correction_type`` for the
-    audit table. Rows that stay as they are do not appear; ``latest_versions``
-    merges the result with the table.
-    """
+    """Predictions with their new values in ``_`` columns; ``_changes`` tells which
+    rows the present pressure corrects."""
     pressure = cluster_pressure(members, as_of)
-    targets = correction_targets(predictions, pressure, config).withColumn("_base", _base())
-    raised = F.least(F.lit(1.0), F.col("_base") + F.col("pressure_score") * config.pressure_multiplier)
-    hard = F.col("pressure_score") > config.hard_flip
     previous = safe_int("prediction")
     staged = (
-        targets.withColumn("_new", raised)
-        .filter((F.col("_new") - F.col("_base") > config.correction_delta) & (F.trim("job_id") != ""))
-        .withColumn("old_score", safe_double("updated_score", F.col("_base")))
-        .withColumn("_class", F.when(hard, 1).otherwise(previous))
-        .filter(
-            ~(
-                F.coalesce("is_corrected", F.lit(False))
-                & (F.abs(F.col("_new") - F.col("old_score")) < 1e-9)
-                & (previous == F.col("_class"))
-            )
-        )
-        .withColumn("correction_type", F.when(hard & (previous != 1), UPGRADE).otherwise(INCREASE))
+        split_join(predictions, pressure, ["cluster_id"], how, config.hot_key_rows)
+        .withColumn("_base", _base())
         .withColumn(
-            "correction_reason",
-            correction_reason(
-                F.col("cluster_id"), F.col("count_1h"), F.col("count_24h"), F.col("pressure_score")
-            ),
+            "_new", F.least(F.lit(1.0), F.col("_base") + F.col("pressure_score") * config.pressure_multiplier)
         )
+        .withColumn("old_score", safe_double("updated_score", F.col("_base")))
+        .withColumn("_class", F.when(F.col("pressure_score") > config.hard_flip, 1).otherwise(previous))
     )
-    changed = staged.withColumns(
+    settled = (
+        F.coalesce("is_corrected", F.lit(False))
+        & (F.abs(F.col("_new") - F.col("old_score")) < 1e-9)
+        & (previous == F.col("_class"))
+    )
+    enough = F.col("_new") - F.col("_base") > config.correction_delta
+    changes = F.coalesce(enough & (F.trim("job_id") != "") & ~settled, F.lit(False))
+    flips = (F.col("pressure_score") > config.hard_flip) & (previous != 1)
+    return staged.withColumns(
         {
-            "updated_score": F.col("_new"),
-            "is_corrected": F.lit(True),
-            "version": F.coalesce("version", F.lit(1)) + 1,
-            "prediction": F.col("_class"),
-            "reason": _summary(F.col("correction_type"), F.col("correction_reason")),
+            "_changes": changes,
+            "correction_type": F.when(flips, UPGRADE).otherwise(INCREASE),
+            "_why": correction_reason(
+                F.col("cluster_id"), F.col("count_1h"), F.col("count_24h"), F.col("pressure_score")
+            ),
         }
     )
-    return changed.select(*predictions.columns, "old_score", "correction_type")
+
+
+def _new_values() -> dict[str, Column]:
+    return {
+        "updated_score": F.col("_new"),
+        "is_corrected": F.lit(True),
+        "version": F.coalesce("version", F.lit(1)) + 1,
+        "prediction": F.col("_class"),
+        "reason": _summary(F.col("correction_type"), F.col("_why")),
+        "correction_reason": F.col("_why"),
+    }
+
+
+def apply_corrections(
+    predictions: DataFrame,
+    members: DataFrame,
+    as_of: Column | datetime | str | None = None,
+    config: Config = DEFAULT,
+) -> DataFrame:
+    """New versions of the predictions that the present pressure corrects.
+
+    All input columns, updated, plus ``old_score`` and ``correction_type`` for the
+    audit table. Rows that stay as they are do not appear; ``latest_versions``
+    merges the result with the stored table.
+    """
+    changed = _judged(predictions, members, as_of, config, "inner").filter("_changes")
+    return changed.withColumns(_new_values()).select(*predictions.columns, "old_score", "correction_type")
+
+
+def corrected_table(
+    predictions: DataFrame,
+    members: DataFrame,
+    as_of: Column | datetime | str | None = None,
+    config: Config = DEFAULT,
+) -> DataFrame:
+    """The whole predictions table after the present corrections, in one pass."""
+    judged = _judged(predictions, members, as_of, config, "left")
+    new = {c: F.when(F.col("_changes"), v).otherwise(F.col(c)) for c, v in _new_values().items()}
+    return judged.withColumns(new).select(*predictions.columns)
 
 
 def correction_events(corrected: DataFrame, as_of: Column) -> DataFrame:
@@ -168,11 +197,15 @@ def correction_events(corrected: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def latest_versions(predictions: DataFrame, corrected: DataFrame) -> DataFrame:
-    """The predictions table after corrections: the highest version per job."""
-    every = predictions.unionByName(corrected.select(*predictions.columns))
-    newest = every.groupBy("job_id").agg(F.max_by(F.struct(*predictions.columns), "version").alias("row"))
-    return newest.select("row.*")
+def latest_versions(predictions: DataFrame, changed: DataFrame) -> DataFrame:
+    """The predictions table after corrections: the highest version per job.
+
+    ``changed`` holds later versions, any number per job. Only keys and versions
+    are compared, so unused columns are never read.
+    """
+    newest = changed.groupBy("job_id").agg(F.max("version").alias("version"))
+    kept = changed.join(newest, ["job_id", "version"], "left_semi").select(*predictions.columns)
+    return predictions.join(newest, "job_id", "left_anti").unionByName(kept)
 
 
 def _levels(config: Config) -> int:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, FREE_EMAIL_DOMAINS, REASON_KEYWORDS, SUSPICIOUS_KEYWORDS, Config
@@ -16,32 +20,57 @@ DEFAULT_REASON = "Model scoring result"
 SHORT_LINE = r"^.{0,39}$"
 EXTERNAL_URL = r"\bhttps?://[^\s]+\b"
 
+_BODY, _WHOLE = "_body", "_whole"
+
 
 def posting_reason(df: DataFrame, name: str = "reason") -> DataFrame:
     """First rule that applies: no company, a rule word, a short one-line text."""
+    # lower case once, in a projection of its own
+    staged = df.withColumn(_BODY, F.lower(or_blank("combined_text")))
+    return staged.withColumn(name, _reason(F.col(_BODY))).drop(_BODY)
+
+
+def _reason(body: Column) -> Column:
     words = r"\b(" + "|".join(REASON_KEYWORDS) + r")\b"
-    return df.withColumn(
-        name,
+    # the plain search spares most texts the pattern
+    worded = _holds_any(body, REASON_KEYWORDS) & body.rlike(words)
+    return (
         F.when(F.trim(or_blank("company")) == "", MISSING_COMPANY)
-        .when(F.lower(or_blank("combined_text")).rlike(words), SUSPICIOUS_LANGUAGE)
+        .when(worded, SUSPICIOUS_LANGUAGE)
         .when(F.trim(or_blank("description")).rlike(SHORT_LINE), LOW_DETAIL)
-        .otherwise(NORMAL_PATTERN),
+        .otherwise(NORMAL_PATTERN)
     )
 
 
-def keyword_hits(text: Column | str) -> Column:
-    """Suspicious words contained in the text, inside longer words too."""
-    body = F.lower(or_blank(text))
+def _holds_any(body: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(body, F.lit(w)) for w in words])
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hits(body: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(body, F.lit(k)), k) for k in SUSPICIOUS_KEYWORDS]))
 
 
-def domain_pattern(company: Column | str, text: Column | str) -> Column:
-    """The first free mail domain named, else a mark for an outside link, else NULL."""
-    body = F.lower(F.concat_ws(" ", or_blank(company), or_blank(text)))
+def _domain(body: Column) -> Column:
     mails = [
         F.when(F.contains(body, F.lit(d)), F.lit(f"free_email_domain:{d}")) for d in FREE_EMAIL_DOMAINS
     ]
-    return F.coalesce(*mails, F.when(body.rlike(EXTERNAL_URL), F.lit("contains_external_url")))
+    link = F.contains(body, F.lit("http")) & body.rlike(EXTERNAL_URL)
+    return F.coalesce(*mails, F.when(link, F.lit("contains_external_url")))
+
+
+def keyword_hits(text: Column | str) -> Column:
+    """Suspicious words contained in the text, inside longer words too."""
+    return _once(F.lower(or_blank(text)), _hits)
+
+
+def domain_pattern(company: Column | str, text: Column | str) -> Column:
+    """The first free mail domain named, else a mark for an outside link, else NULL."""
+    return _once(F.lower(F.concat_ws(" ", or_blank(company), or_blank(text))), _domain)
 
 
 def base_score(prediction: Column | str = "prediction", confidence: Column | str = "confidence") -> Column:
@@ -52,13 +81,20 @@ def base_score(prediction: Column | str = "prediction", confidence: Column | str
 
 def tag_postings(df: DataFrame) -> DataFrame:
     """Add the rule columns: reason, hits, suspicious_keywords, domain_pattern, is_scorable."""
-    tagged = df if "reason" in df.columns else posting_reason(df)
-    return (
-        tagged.withColumn("hits", keyword_hits("combined_text"))
-        .withColumn("suspicious_keywords", F.array_join("hits", ","))
-        .withColumn("domain_pattern", domain_pattern("company", "combined_text"))
-        .withColumn("is_scorable", F.trim(or_blank("combined_text")) != "")
+    text = or_blank("combined_text")
+    staged = df.withColumns(
+        {_BODY: F.lower(text), _WHOLE: F.lower(F.concat_ws(" ", or_blank("company"), text))}
     )
+    body = F.col(_BODY)
+    columns = {
+        "hits": _hits(body),
+        "domain_pattern": _domain(F.col(_WHOLE)),
+        "is_scorable": F.trim(body) != "",
+    }
+    if "reason" not in df.columns:
+        columns["reason"] = _reason(body)
+    tagged = staged.withColumns(columns).drop(_BODY, _WHOLE)
+    return tagged.withColumn("suspicious_keywords", F.array_join("hits", ","))
 
 
 def risk_score(

@@ -13,7 +13,7 @@ from ..functions.scalars import ntz
 from ..operators.alerts import alert_from_prediction
 from ..operators.features import combined_text
 from ..operators.metrics import batch_metrics
-from ..operators.pressure import apply_corrections, correction_history, latest_versions
+from ..operators.pressure import corrected_table, correction_history
 
 # Phrases put into postings, title endings and reasons of predictions.
 PHRASES = (
@@ -43,7 +43,11 @@ def pick(number: Column, texts: tuple[str, ...]) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source")
+    """Documents; a table in fewer files than there are cores is spread over them,
+    as one small file would keep all text work in one task."""
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, "doc_id") if len(rows.inputFiles()) < cores else rows
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,8 +162,7 @@ def memberships(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corrected_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = predictions(spark, sf)
-    return latest_versions(rows, apply_corrections(rows, memberships(spark, sf), as_of(spark, sf)))
+    return corrected_table(predictions(spark, sf), memberships(spark, sf), as_of(spark, sf))
 
 
 def corrections(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,6 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +17,7 @@ from ..operators.anomaly import ema_step
 from ..operators.features import clean_text, combined_text, serve_time_features
 from ..operators.metrics import batch_metrics
 from ..operators.model import score
-from ..operators.pressure import apply_corrections, correction_events
+from ..operators.pressure import apply_corrections, correction_events, latest_versions
 from ..operators.records import event_latency_ms, processed_event, sanitize_prediction
 from ..operators.rules import posting_reason, scored_record
 from ..operators.similarity import assign_clusters, cluster_memberships
@@ -57,19 +56,10 @@ def deduplicated(postings: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def _stages(model: PipelineModel) -> list:
-    """All stages, those of nested pipelines too."""
-    nested = [_stages(s) if isinstance(s, PipelineModel) else [s] for s in model.stages]
-    return [stage for group in nested for stage in group]
-
-
-def model_terms(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Vocabulary of a fitted model as a table for ``assign_clusters``; its size is
-    the model's max_features."""
-    counter = next(s for s in _stages(model) if isinstance(s, CountVectorizerModel))
-    scale = next(s for s in _stages(model) if isinstance(s, ElementwiseProduct))
-    rows = [(t, i, float(w)) for i, (t, w) in enumerate(zip(counter.vocabulary, scale.getScalingVec().toArray()))]
-    return spark.createDataFrame(rows, "term string, term_index int, idf double")
+def vectorizer_of(model: PipelineModel) -> PipelineModel:
+    """The TF-IDF part of a trained model, its first stage."""
+    first = model.stages[0]
+    return first if isinstance(first, PipelineModel) else PipelineModel(model.stages[:4])
 
 
 class BatchWriter:
@@ -82,13 +72,13 @@ class BatchWriter:
     def __init__(
         self,
         tables: Tables,
-        terms: DataFrame,
+        vectorizer: PipelineModel,
         config: Config = DEFAULT,
         processed_format: str | None = None,
         processed_options: dict[str, str] | None = None,
     ):
         self.tables = tables
-        self.terms = terms
+        self.vectorizer = vectorizer
         self.config = config
         self.processed_format = processed_format
         self.processed_options = processed_options or {}
@@ -148,7 +138,7 @@ class BatchWriter:
                 F.lit(True).alias("asks"),
             )
         )
-        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config, self.terms)
+        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config, self.vectorizer)
         stored = once.drop("cluster_id").join(clusters, "job_id").withColumn(
             "id", F.xxhash64("job_id").bitwiseAND(F.lit((1 << 62) - 1))
         )
@@ -173,24 +163,19 @@ class BatchWriter:
         touched = F.broadcast(mine.select("cluster_id").distinct())
         first = tables.predictions(as_stored=True).filter(F.col("batch_id") <= batch_id)
         newer = tables.read("prediction_versions", schemas.PREDICTION).filter(F.col("batch_id") < batch_id)
-        current = self._latest(first.join(touched, "cluster_id", "left_semi"), newer.join(touched, "cluster_id", "left_semi"))
+        in_touched = lambda df: df.join(touched, "cluster_id", "left_semi")
+        names = [f.name for f in schemas.PREDICTION.fields]
+        current = latest_versions(in_touched(first).select(*names), in_touched(newer).select(*names))
         members = tables.recent(tables.memberships(), now, 25).filter(F.col("batch_id") <= batch_id)
         # the members of a batch share its instant and count at once
         members = members.join(touched, "cluster_id", "left_semi")
         corrected = apply_corrections(current, members, clock, self.config).persist()
         try:
-            names = [f.name for f in schemas.PREDICTION.fields]
             write_batch(corrected.select(*names), tables.path("prediction_versions"), batch_id, "created_at")
             emit_corrections(correction_events(corrected, clock), tables.path("corrections"), batch_id)
         finally:
             corrected.unpersist()
 
-    @staticmethod
-    def _latest(first: DataFrame, newer: DataFrame) -> DataFrame:
-        names = [f.name for f in schemas.PREDICTION.fields]
-        every = first.select(*names).unionByName(newer.select(*names))
-        return every.groupBy("job_id").agg(F.max_by(F.struct(*names), "version").alias("row")).select("row.*")
-
     def _measure(
         self, mine: DataFrame, bad: DataFrame, started: datetime, inserted_at: datetime, batch_id: int
     ) -> None:
@@ -227,7 +212,7 @@ def score_stream(
     """Start scoring ``postings`` into the tables below ``root``."""
     spark = postings.sparkSession
     tables = Tables(spark, root)
-    writer = BatchWriter(tables, model_terms(spark, model), config, **writer)
+    writer = BatchWriter(tables, vectorizer_of(model), config, **writer)
     scored = scored_postings(deduplicated(postings), model)
     query = scored.writeStream.foreachBatch(writer).option("checkpointLocation", tables.path("_checkpoint"))
     if available_now:

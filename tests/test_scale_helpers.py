@@ -138,7 +138,7 @@ def brute_force(rows, weights, reach, hours, threshold):
 def test_matches_and_clusters_by_hand(spark):
     rows, df = postings(spark)
     weights: dict[str, dict[str, float]] = {}
-    for r in tfidf_weights(df.filter("combined_text <> ''")).collect():
+    for r in tfidf_weights(df).collect():
         weights.setdefault(r["job_id"], {})[r["term"]] = r["weight"]
     config = replace(HOT, candidate_limit=17)
     want = brute_force(rows, weights, 17, 24, 0.8)
@@ -165,6 +165,6 @@ def test_supplied_ids_and_candidates_only(spark):
 
 
 def test_long_chain_resolves(spark):
-    links = spark.range(300).selectExpr("cast(id AS string) AS job_id", "if(id = 0, null, cast(id - 1 AS string)) AS parent_id")
+    links = spark.range(300).selectExpr("cast(id + 1 AS string) AS job_id", "cast(id AS string) AS parent_id")
     roots = similarity.resolve_roots(links, HOT)
     assert roots.count() == 300 and roots.filter("root_id <> '0'").count() == 0
