@@ -21,7 +21,7 @@ def global_order(df: DataFrame, keys: Sequence[Column | str], name: str = "rank"
     A range shuffle spreads rows evenly even when one time stamp holds many of
     them (the keys must end in a unique one); positions come from the row index
     inside each sorted part plus the sizes of the parts before it. The parts are
-    checkpointed once, as a second evaluation could cut them elsewhere. Also
+    written once, as a second evaluation could cut them elsewhere. Also
     adds ``_part`` for two-level folds over the same order.
     """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.layout import sliced_running_sum, split_join
 from ..functions.scalars import clock, count_if, from_micros, hours, micros, safe_double, safe_int
+from ..session import cut_lineage
 from .records import INCREASE, UPGRADE
 from .rules import base_score
 
@@ -226,7 +227,8 @@ def correction_history(predictions: DataFrame, members: DataFrame, config: Confi
     the later waves; steps that leave it as it was are dropped.
     """
     cap = _levels(config)
-    timeline = pressure_timeline(members, config).withColumn("level", F.least(F.lit(cap), F.col("count_24h")))
+    # read twice below, and narrow next to what it is made from
+    timeline = cut_lineage(pressure_timeline(members, config)).withColumn("level", F.least(F.lit(cap), F.col("count_24h")))
     order = Window.partitionBy("cluster_id", "_day").orderBy("created_at")
     days = timeline.withColumn("_day", F.floor(micros("created_at") / F.lit(24 * _HOUR_US)))
     # the first instant of a slice is kept as a wave; a repeated level does no harm

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,7 +23,7 @@ from ..operators import rules as ru
 from ..operators import similarity as si
 from ..operators import trends as tr
 from ..operators import vectors as ve
-from ..session import ensure_checkpoint_dir, use_utc
+from ..session import scratch_path, use_utc
 from ..sinks import tables as sk
 from ..sources import feed as fd
 from ..sources import postings as so
@@ -63,11 +62,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-
 def joined(df: DataFrame, *names: str) -> DataFrame:
     """Arrays of text as one text."""
     return df.withColumns({n: F.array_join(n, "|") for n in names})
@@ -133,7 +127,7 @@ def parse_posting_json(spark, sf):
 
 @query
 def read_postings_csv(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = fx.postings(spark, sf).select("job_id", "title", "description", "company", "event_timestamp")
     rows = rows.withColumnRenamed("event_timestamp", "timestamp").withColumnRenamed("job_id", "id")
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
@@ -142,7 +136,7 @@ def read_postings_csv(spark, sf):
 
 @query
 def read_training_csv(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = fx.training(spark, sf).drop("nothing", "length")
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     read = so.read_training_csv(spark, path, ("doc_id", "quality", "fraudulent"))
@@ -151,7 +145,7 @@ def read_training_csv(spark, sf):
 
 @query
 def read_postings_jsonl(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     lines = _messages(spark, sf).select("value")
     lines.write.text(path)
     return so.read_postings_jsonl(spark, path)
@@ -159,7 +153,7 @@ def read_postings_jsonl(spark, sf):
 
 @query
 def read_postings_stream(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     _messages(spark, sf).select("value").write.text(f"{path}/in")
     stream = ss.read_postings_stream(spark, "text", f"{path}/in", maxFilesPerTrigger="100")
     rows = stream.select("job_id", "title", "description", "company", "event_timestamp", "is_malformed")
@@ -189,7 +183,7 @@ def latest_prediction_id(spark, sf):
 
 @query
 def publish_postings(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = so.normalize_posting(fx.postings(spark, sf).withColumn("timestamp", F.col("event_timestamp")).drop("created_at"))
     sk.publish_postings(rows, "json", {"path": path})
     back = spark.read.schema("key string, value string").json(path)
@@ -218,7 +212,7 @@ def sanitize_prediction(spark, sf):
 
 @query
 def write_predictions(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = fx.predictions(spark, sf).withColumn("batch_id", F.floor(F.col("id") / 700))
     # the second write of the same batches replaces the first
     sk.write_predictions(rows, path, None)
@@ -230,7 +224,7 @@ def write_predictions(spark, sf):
 
 @query
 def write_batch_metrics(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     sk.write_batch_metrics(fx.metrics(spark, sf).drop("throughput_jobs_per_sec"), path)
     back = spark.read.schema(schemas.BATCH_METRIC).parquet(path)
     return back.select("batch_id", "jobs_received", "jobs_failed", "throughput_jobs_per_sec", "error_rate", "source")
@@ -252,7 +246,7 @@ def processed_event(spark, sf):
 
 @query
 def emit_corrections(spark, sf):
-    path, now = scratch(spark), fx.as_of(spark, sf)
+    path, now = scratch_path(spark), fx.as_of(spark, sf)
     fixed = pr.apply_corrections(fx.predictions(spark, sf), fx.memberships(spark, sf), now)
     sk.emit_corrections(pr.correction_events(fixed, now), path, 0, "json", {"path": path + "-topic"})
     return spark.read.schema(schemas.CORRECTION).parquet(f"{path}/*/*")
@@ -260,7 +254,7 @@ def emit_corrections(spark, sf):
 
 @query
 def window_metrics_sink(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     stream = _event_stream(spark, sf)
     windows = an.fraud_windows(stream, "ts", "1 hour", "1 hour")
     sw.window_metrics_sink(
@@ -480,7 +474,7 @@ def _model(rows: DataFrame) -> mo.PipelineModel:
 def score(spark, sf):
     rows = fe.training_features(fx.training(spark, sf))
     model = _model(rows)
-    path = scratch(spark)
+    path = scratch_path(spark)
     sk.save_model(model, path)
     return mo.score(rows, sk.load_model(path)).select("job_id", "fraudulent", "prediction", "confidence")
 
@@ -923,7 +917,7 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_ema_anomaly(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     windows = an.fraud_windows(_event_stream(spark, sf), "ts", "1 hour", "1 hour")
     marked = sw.stream_ema_anomaly(windows)
     _to_files(marked, path)
@@ -937,7 +931,7 @@ def live_counters(spark, sf):
 
 @query
 def alert_stream(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = fx.corrected_predictions(spark, sf).withColumn("batch_id", F.floor(F.col("id") / 700))
     sk.write_predictions(rows, f"{path}/predictions", None)
     alerts = st.alert_stream(st.prediction_stream(spark, path, 1000))
@@ -947,7 +941,7 @@ def alert_stream(spark, sf):
 
 @query
 def score_stream(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     rows = fe.training_features(fx.training(spark, sf))
     model = _model(rows)
     _messages(spark, sf).select("value").write.text(f"{path}/in")
