@@ -462,7 +462,8 @@ def train(spark, sf):
 def _model(rows: DataFrame) -> mo.PipelineModel:
     rows = rows.select("combined_text", *mo.NUMBERS, "fraudulent").persist()
     vectorizer = mo.fit_tfidf(rows)
-    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features").persist()
+    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features")
+    ready = mo.packed(ready, rows.count()).persist()
     try:
         return mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready, max_iter=50).stages])
     finally:
