@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .bpe import decode_ids, encode_texts
+from .common import remainder, table, texts
+from . import language_model
 from .simhash import near_copies
+from .substrings import without_repeats
+from .winnowing import digest, edited, likeness
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +17,54 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(texts(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(7) == 2
+    model = language_model.train(docs.filter(~held_out))
+    return language_model.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digest("marks").alias("fingerprint"),
+        digest("edited_marks").alias("edited_fingerprint"),
+        likeness("hashes", "edited_hashes").alias("near_edited"),
+        likeness("hashes", "next_hashes").alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_bpe": op5_bpe,
+    "op6_substrings": op6_substrings,
+    "op7_language_model": op7_language_model,
+    "op8_winnowing": op8_winnowing,
 }
 
 #: SQL twins, for the queries that SQL can express.

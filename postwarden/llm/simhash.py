@@ -32,6 +32,8 @@ SHINGLE, DISTANCE = 4, 4
 #: Rows that one group of a cell holds at most, on average; larger cells are cut
 #: into groups by pairs of slices, which together compare all that the cell compares.
 CELL_ROWS = 4096
+#: What comparing a candidate costs in a vector loop against shuffling one probe.
+CANDIDATE = 0.05
 #: Shingles hashed at once, so that a very long text takes bounded memory.
 CHUNK = 1 << 18
 
@@ -194,7 +196,7 @@ def plan_parts(blocks: list[list[int]], histograms: np.ndarray, n: int, distance
             costs.append(
                 [0.0]
                 + [
-                    n * sum(comb(width, d) for d in range(t + 1)) + n * n / 2 * apart[: t + 1].sum()
+                    n * sum(comb(width, d) for d in range(t + 1)) + CANDIDATE * n * n / 2 * apart[: t + 1].sum()
                     for t in range(distance + 1)
                 ]
             )
