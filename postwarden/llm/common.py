@@ -33,6 +33,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """Parts of about ``size`` characters, cut before a space; whole if none follows."""
+    start = 0
+    while len(text) - start > size:
+        stop = text.find(" ", start + size)
+        if stop < 0:
+            break
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 def remainder(parts: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)

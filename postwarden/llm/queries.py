@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_ids, encode_texts
 from .common import remainder, table, texts
-from . import language_model
+from . import language_model, toxicity
+from .packing import pack_documents
 from .simhash import near_copies
 from .substrings import without_repeats
 from .winnowing import digest, edited, likeness
@@ -17,6 +18,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(table(spark, sf_dir, "documents"))
+    found = toxicity.score_texts(docs, toxicity.trained(spark, docs, sf_dir), "score")
+    predicted = (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted")
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", predicted)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
     return coded.select(
@@ -59,12 +67,18 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,
     "op7_language_model": op7_language_model,
     "op8_winnowing": op8_winnowing,
+    "op10_packing": op10_packing,
 }
 
 #: SQL twins, for the queries that SQL can express.
