@@ -33,6 +33,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
+class Codes(dict):
+    """A small number for each word, in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
     """Parts of about ``size`` characters, cut before a space; whole if none follows."""
     start = 0

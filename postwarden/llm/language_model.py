@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import Batches, as_bytes, batch_of, mapped, texts, words_of
+from .common import Batches, Codes, as_bytes, batch_of, mapped, texts, words_of
 
 #: Discount of pair counts; pairs seen less often are left to the back-off weight,
 #: which keeps their mass. Training tokens for each part. Bits of a quantised value.
@@ -225,19 +225,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-class _Codes(dict):
-    """A small number for each word, in order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        return code
-
-
 class Run:
     """Some texts as word codes: END follows each text, BEGIN has the last code."""
 
     def __init__(self, contents: list[bytes]):
-        codes = _Codes()
+        codes = Codes()
         found = [words_of(text.lower()) for text in contents]
         self.sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
         every = chain.from_iterable(chain(words, (END,)) for words in found)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_ids, encode_texts
 from .common import remainder, table, texts
-from . import language_model, toxicity
+from . import language_model, pii, toxicity
+from .embeddings import near_vectors
 from .packing import pack_documents
 from .simhash import near_copies
 from .substrings import without_repeats
@@ -18,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     found = toxicity.score_texts(docs, toxicity.trained(spark, docs, sf_dir), "score")
@@ -67,17 +72,30 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(pii.listed(pii.KINDS).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(pii.KINDS, with_terms=True).alias("spans"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_embeddings": op2_embeddings,
     "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,
     "op7_language_model": op7_language_model,
     "op8_winnowing": op8_winnowing,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
