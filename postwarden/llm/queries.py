@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
+from . import language_model, pii, quality, toxicity
 from .bpe import decode_ids, encode_texts
 from .common import remainder, table, texts
-from . import language_model, pii, toxicity
 from .embeddings import near_vectors
 from .packing import pack_documents
 from .simhash import near_copies
@@ -30,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", predicted)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(table(spark, sf_dir, "documents"))
+    found = quality.score_quality(docs, quality.fit(docs), "score")
+    return found.select("doc_id", "score", (F.col("score") >= quality.KEEP).alias("kept"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
     return coded.select(
@@ -91,13 +99,15 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embeddings": op2_embeddings,
     "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_substrings": op6_substrings,
     "op7_language_model": op7_language_model,
     "op8_winnowing": op8_winnowing,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: SQL twins, for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
