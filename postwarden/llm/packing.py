@@ -40,6 +40,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 # --- ids ----------------------------------------------------------------------------
 
 
+def lowered(text: bytes) -> bytes:
+    """A-Z lowered, as the tokenizer does later, so that fewer words are distinct. It
+    composes marks with letters first, and some marks compose with small letters only;
+    texts with bytes that begin such marks stay as they are."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class Words(dict):
     """The ids of words as bytes, each found once by the tokenizer.
 
@@ -75,10 +82,7 @@ class Words(dict):
         return found
 
     def learn(self, words: set[bytes]) -> None:
-        """Add words that are not known; a full store is emptied first."""
-        if self.held > HELD:
-            self.clear()
-            self.held = 0
+        """Add words that are not known."""
         letters, mixed, ended = {}, {}, []
         for word in words:
             text = word.decode()
@@ -109,15 +113,15 @@ class Words(dict):
         while at < len(contents):
             some, size = [], 0
             while at < len(contents) and (not some or size < 1 << 23):
-                some.append(words_of(contents[at]))
+                some.append(words_of(lowered(contents[at])))
                 size += len(contents[at])
                 at += 1
-            missing = {w for words in some for w in words if w not in self}
-            if missing:
-                self.learn(missing)
-                missing = {w for words in some for w in words if w not in self}  # gone with an emptied store
-                if missing:
-                    self.learn(missing)
+            every = set().union(*some)
+            missing = every.difference(self)
+            if missing and self.held > HELD:
+                self.clear()
+                self.held, missing = 0, every
+            self.learn(missing)
             out += [b"".join(map(self.__getitem__, words)) + end for words in some]
         return out
 
