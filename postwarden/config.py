@@ -62,7 +62,7 @@ class Config:
     # clustering
     similarity_threshold: float = 0.8
     lookback_hours: int = 24
-    candidate_limit: int = 300
+    # terms of the classifier's input; similarity uses all terms
     max_features: int = 5000
     # pressure and corrections
     pressure_multiplier: float = 0.5
@@ -76,7 +76,6 @@ class Config:
     # streaming
     max_offsets_per_trigger: int = 700
     trigger_interval: str = "5 seconds"
-    alerts_per_cycle: int = 50
     # health
     down_lag: int = 2000
     recovery_seconds: int = 30

@@ -151,7 +151,8 @@ def alert_view(
     if category != "all":
         view = view.filter(F.col("category") == category)
     if age != "all":
-        view = view.filter(F.col("timestamp") >= as_time(as_of) - minutes(AGE_LIMITS[age]))
+        now = as_time(as_of)
+        view = view.filter(F.col("timestamp").between(now - minutes(AGE_LIMITS[age]), now))
     orders = {
         "risk-desc": F.desc("risk_score"),
         "risk-asc": F.asc("risk_score"),

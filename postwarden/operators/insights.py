@@ -66,7 +66,7 @@ def top_clusters(
 ) -> DataFrame:
     """The clusters with the highest pressure over the last 24 hours."""
     now = clock(members, "created_at", as_of)
-    recent = members.filter(F.col("created_at") >= now - hours(24)).select("cluster_id", "job_id", "created_at")
+    recent = members.filter(F.col("created_at").between(now - hours(24), now)).select("cluster_id", "job_id", "created_at")
     jobs = predictions.select("job_id", "is_corrected", "updated_score")
     newer = lambda n: F.col("created_at") >= now - hours(n)
     joined = recent.join(jobs, "job_id", "left")

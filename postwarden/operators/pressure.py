@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.layout import sliced_running_sum, split_join
-from ..functions.scalars import clock, count_if, from_micros, hours, micros, safe_double, safe_int
+from ..functions.scalars import clamp01, clock, count_if, from_micros, hours, micros, safe_double, safe_int
 from ..session import cut_lineage
 from .records import INCREASE, UPGRADE
 from .rules import base_score
@@ -23,7 +23,8 @@ def cluster_pressure(members: DataFrame, as_of: Column | datetime | str | None =
     now = clock(members, "created_at", as_of)
     newer = lambda n: F.col("created_at") > now - hours(n)
     return (
-        members.groupBy("cluster_id")
+        members.filter(F.col("created_at") <= now)
+        .groupBy("cluster_id")
         .agg(
             count_if(newer(1)).alias("count_1h"),
             count_if(newer(6)).alias("count_6h"),
@@ -36,7 +37,7 @@ def cluster_pressure(members: DataFrame, as_of: Column | datetime | str | None =
 def high_pressure_clusters(members: DataFrame, as_of: Column | datetime | str | None = None) -> DataFrame:
     """How many clusters have a pressure above 1 (24 h edge included)."""
     now = clock(members, "created_at", as_of)
-    recent = members.filter(F.col("created_at") >= now - hours(24)).groupBy("cluster_id")
+    recent = members.filter(F.col("created_at").between(now - hours(24), now)).groupBy("cluster_id")
     return (
         recent.agg(F.count(F.lit(1)).alias("n"))
         .filter(F.log1p("n") > 1.0)
@@ -105,7 +106,7 @@ def _summary(kind: Column, reason: Column) -> Column:
 
 
 def _base() -> Column:
-    return safe_double("original_score", base_score())
+    return clamp01(safe_double("original_score", base_score()))
 
 
 def _judged(

@@ -18,7 +18,7 @@ def hour_spine(df: DataFrame, now: Column, window_hours: int) -> DataFrame:
 
 
 def _hourly(df: DataFrame, time: str, now: Column, window_hours: int, *aggs: Column) -> DataFrame:
-    recent = df.filter(F.col(time) >= now - hours(window_hours))
+    recent = df.filter(F.col(time).between(now - hours(window_hours), now))
     return recent.groupBy(hour_start(time).alias("bucket_start")).agg(*aggs)
 
 

@@ -56,7 +56,7 @@ CTES: dict[str, str] = {
     "postings": rf"""
 SELECT CAST(doc_id AS VARCHAR) AS job_id, doc_id,
   array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 6), ' ') AS title,
-  CASE WHEN doc_id % 29 = 0 THEN 'short' ELSE text || {_PHRASES} END AS description,
+  text || {_PHRASES} AS description,
   CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS company,
   CASE WHEN doc_id % 23 = 0 THEN 'bad-time'
     ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') END AS event_timestamp,
@@ -291,7 +291,7 @@ SELECT job_id, unnest(regexp_split_to_array(combined_text, '[^\p{L}\p{N}_]+')) A
     "tf": "SELECT job_id, term, count(*) AS tf FROM tokens WHERE length(term) >= 2 GROUP BY job_id, term",
     "vocabulary": """
 SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM texts)) / (1.0::DOUBLE + df)) + 1 AS idf FROM (
-  SELECT term, sum(tf) AS uses, count(*) AS df FROM tf GROUP BY term ORDER BY uses DESC, term LIMIT 5000)""",
+  SELECT term, sum(tf) AS uses, count(*) AS df FROM tf GROUP BY term)""",
     "weights": """
 SELECT job_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY job_id)) AS weight
 FROM (SELECT job_id, term, tf * idf AS w FROM tf JOIN vocabulary USING (term))""",
@@ -301,7 +301,7 @@ SELECT job_id, created_at, row_number() OVER (ORDER BY created_at, job_id) AS ra
 SELECT q.job_id, q.rank, c.rank AS match_rank, c.job_id AS match_job_id, round(sum(a.weight * b.weight), 9) AS similarity
 FROM ranked q JOIN weights a ON a.job_id = q.job_id JOIN weights b ON b.term = a.term
 JOIN ranked c ON c.job_id = b.job_id
-WHERE q.rank - c.rank BETWEEN 1 AND 300 AND c.created_at >= q.created_at - INTERVAL 24 HOUR
+WHERE c.rank < q.rank AND c.created_at >= q.created_at - INTERVAL 24 HOUR
 GROUP BY ALL""",
     "matches": """
 SELECT job_id, arg_max(match_job_id, (similarity, match_rank)) AS match_job_id, max(similarity) AS similarity
@@ -313,6 +313,12 @@ def ema(windows: str, order: str, carried: str) -> str:
     """Recursive walk over ``windows`` in order; ``carried`` are columns to keep."""
     count_bar = "greatest(8::DOUBLE, e.ema_count * 2.2::DOUBLE)"
     rate_bar = "greatest(0.55::DOUBLE, e.ema_rate * 1.8::DOUBLE)"
+    digits = lambda x, n: (
+        f"printf('%d.%0{n}d', CAST(floor(({x}) * {10**n}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) // {10**n}, "
+        f"CAST(floor(({x}) * {10**n}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) % {10**n})"
+    )
+    many = f"'fraud_count_spike:' || n.fraud_jobs || '>=' || {digits(count_bar, 2)}"
+    dense = f"'fraud_rate_spike:' || {digits('n.fraud_rate', 3)} || '>=' || {digits(rate_bar, 3)}"
     return f"""
 numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM {windows}),
 walk AS (
@@ -322,10 +328,9 @@ walk AS (
   SELECT n.i, {", ".join("n." + c.strip() for c in carried.split(","))},
     (n.fraud_jobs >= {count_bar}) OR (n.fraud_rate >= {rate_bar} AND n.fraud_jobs >= 2),
     CASE WHEN n.fraud_jobs >= {count_bar} AND n.fraud_rate >= {rate_bar} AND n.fraud_jobs >= 2
-      THEN printf('fraud_count_spike:%d>=%.2f; fraud_rate_spike:%.3f>=%.3f', n.fraud_jobs, {count_bar}, n.fraud_rate, {rate_bar})
-      WHEN n.fraud_jobs >= {count_bar} THEN printf('fraud_count_spike:%d>=%.2f', n.fraud_jobs, {count_bar})
-      WHEN n.fraud_rate >= {rate_bar} AND n.fraud_jobs >= 2
-      THEN printf('fraud_rate_spike:%.3f>=%.3f', n.fraud_rate, {rate_bar})
+      THEN {many} || '; ' || {dense}
+    WHEN n.fraud_jobs >= {count_bar} THEN {many}
+      WHEN n.fraud_rate >= {rate_bar} AND n.fraud_jobs >= 2 THEN {dense}
       ELSE 'normal_window' END,
     0.2::DOUBLE * n.fraud_jobs + (1 - 0.2::DOUBLE) * e.ema_count, 0.2::DOUBLE * n.fraud_rate + (1 - 0.2::DOUBLE) * e.ema_rate
   FROM walk e JOIN numbered n ON n.i = e.i + 1)"""

@@ -43,11 +43,7 @@ def pick(number: Column, texts: tuple[str, ...]) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents; a table in fewer files than there are cores is spread over them,
-    as one small file would keep all text work in one task."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", "source")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, "doc_id") if len(rows.inputFiles()) < cores else rows
+    return table(spark, sf, "documents").select("doc_id", "text", "source")
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,8 +53,8 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(
         d.cast("string").alias("job_id"),
         "doc_id",
-        F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("title"),
-        F.when(d % 29 == 0, "short").otherwise(text).alias("description"),
+        F.array_join(F.slice(F.split("text", r"\s+", 7), 1, 6), " ").alias("title"),
+        text.alias("description"),
         F.when(d % 7 == 0, "").otherwise(F.col("source")).alias("company"),
         F.when(d % 23 == 0, "bad-time")
         .otherwise(F.date_format(minute, "yyyy-MM-dd'T'HH:mm:ss'Z'"))

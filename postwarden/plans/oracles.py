@@ -185,7 +185,7 @@ SELECT job_id, arg_max(match_job_id, (similarity, match_time)) AS match_job_id,
 GROUP BY job_id""", "similarity",
        "numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM ev)")
 oracle("assign_clusters", """
-SELECT w.job_id, 'cluster_' || substr(sha256(t.combined_text), 1, 16) AS cluster_id
+SELECT w.job_id, 'cluster_' || sha256(t.combined_text) AS cluster_id
 FROM walk w JOIN (SELECT job_id, trim_text AS combined_text FROM trimmed) t ON t.job_id = w.root_id""",
        extra=f"""
 links AS (SELECT p.job_id, m.match_job_id AS parent_id FROM postings p LEFT JOIN matches m ON m.job_id = p.job_id),

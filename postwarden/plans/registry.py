@@ -462,10 +462,9 @@ def train(spark, sf):
 def _model(rows: DataFrame) -> mo.PipelineModel:
     rows = rows.select("combined_text", *mo.NUMBERS, "fraudulent").persist()
     vectorizer = mo.fit_tfidf(rows)
-    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features")
-    ready = mo.packed(ready, rows.count()).persist()
+    ready = mo.assemble_features(rows, vectorizer).select("fraudulent", "features").persist()
     try:
-        return mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready, max_iter=50).stages])
+        return mo.PipelineModel([vectorizer, mo.feature_assembler(), *mo.fit_logistic(ready).stages])
     finally:
         ready.unpersist()
         rows.unpersist()
@@ -477,7 +476,8 @@ def score(spark, sf):
     model = _model(rows)
     path = scratch_path(spark)
     sk.save_model(model, path)
-    return mo.score(rows, sk.load_model(path)).select("job_id", "fraudulent", "prediction", "confidence")
+    every = fe.serve_time_features(fx.texts(spark, sf))
+    return mo.score(every, sk.load_model(path)).select("job_id", "prediction", "confidence")
 
 
 @query

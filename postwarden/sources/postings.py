@@ -86,7 +86,7 @@ def read_training_csv(
     path: str,
     numeric: Sequence[str] = NUMERIC_TRAINING_COLUMNS,
 ) -> DataFrame | None:
-    """Labelled postings with typed numeric columns, None when unreadable."""
+    """Labelled postings with typed numeric columns, None when there is no such file."""
     try:
         raw = (
             spark.read.option("header", True)
@@ -94,7 +94,9 @@ def read_training_csv(
             .option("escape", '"')
             .csv(path)
         )
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     typed = {n: F.col(n).try_cast("double") for n in numeric if n in raw.columns}
     if "fraudulent" in typed:

@@ -6,14 +6,15 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..config import DEFAULT, Config
+from ..functions.layout import global_order
 from ..functions.scalars import as_time, count_if, hours, is_one, ntz, parse_time
 from ..operators.alerts import alert_from_prediction
-from ..operators.anomaly import ema_step
+from ..operators.anomaly import smoothing, surge_marks
 from ..operators.features import clean_text, combined_text, serve_time_features
 from ..operators.metrics import batch_metrics
 from ..operators.model import score
@@ -98,13 +99,28 @@ class BatchWriter:
         if mine is not None:
             return datetime.fromisoformat(mine["started_at"]), mine["is_anomaly"], mine["anomaly_reason"]
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        totals = good.agg(F.count(F.lit(1)).alias("n"), count_if(is_one("prediction")).alias("fraud")).first()
-        state = (past[0]["ema_count"], past[0]["ema_rate"]) if past else None
-        rate = totals["fraud"] / max(1, totals["n"])
-        flag, reason, moved = ema_step(state, totals["fraud"], rate, self.config)
-        row = good.sparkSession.createDataFrame(
-            [(batch_id, now.isoformat(), *moved, flag, reason)], BATCH_STATE
+        means = (past[0]["ema_count"], past[0]["ema_rate"]) if past else (None, None)
+        a = smoothing(self.config)
+        flag, reason = surge_marks(self.config)
+        figures = good.agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(count_if(is_one("prediction")), F.lit(0)).alias("fraud_jobs")
+        ).select(
+            "fraud_jobs",
+            (F.col("fraud_jobs") / F.greatest("n", F.lit(1))).alias("fraud_rate"),
+            *[F.lit(m).cast("double").alias(f"prior_{c}") for m, c in zip(means, ("count", "rate"))],
         )
+        moved = [
+            F.coalesce(a * F.col(v) + (1 - a) * F.col(f"prior_{c}"), F.col(v)).cast("double").alias(f"ema_{c}")
+            for v, c in (("fraud_jobs", "count"), ("fraud_rate", "rate"))
+        ]
+        state = figures.select(
+            F.lit(now.isoformat()).alias("started_at"),
+            *moved,
+            flag.alias("is_anomaly"),
+            reason.alias("anomaly_reason"),
+        ).first()
+        flag, reason = state["is_anomaly"], state["anomaly_reason"]
+        row = good.sparkSession.createDataFrame([(batch_id, *state)], BATCH_STATE)
         write_batch(row.drop("batch_id"), self.tables.path("batch_state"), batch_id)
         return now, flag, reason
 
@@ -121,14 +137,13 @@ class BatchWriter:
             good.withColumns({"batch_is_anomaly": F.lit(flag), "batch_anomaly_reason": F.lit(reason)}), config
         )
         clean = sanitize_prediction(records).withColumn("created_at", clock)
-        once = clean.dropDuplicates(["job_id"])
+        # a replayed batch keeps the same one of several rows with an id
+        place = F.struct("event_timestamp", F.xxhash64("title", "text_blob"))
+        newest = Window.partitionBy("job_id").orderBy(place)
+        once = clean.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
         # batches that replay must not see their own rows
         earlier = tables.predictions(as_stored=True).filter(F.col("batch_id") < batch_id)
-        frame = (
-            tables.recent(earlier, now, config.lookback_hours)
-            .orderBy(F.desc("created_at"), F.desc("job_id"))
-            .limit(config.candidate_limit)
-        )
+        frame = tables.recent(earlier, now, config.lookback_hours)
         pool = frame.select(
             "job_id", "created_at", F.col("text_blob").alias("combined_text"), "title", "cluster_id",
             F.lit(False).alias("asks"),
@@ -139,9 +154,10 @@ class BatchWriter:
             )
         )
         clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config, self.vectorizer)
-        stored = once.drop("cluster_id").join(clusters, "job_id").withColumn(
-            "id", F.xxhash64("job_id").bitwiseAND(F.lit((1 << 62) - 1))
-        )
+        # ids grow from batch to batch, so a feed that pages by them misses none
+        order = global_order(once.select("job_id"), ["job_id"], "_place").select("job_id", "_place")
+        stored = once.drop("cluster_id").join(clusters, "job_id").join(order, "job_id")
+        stored = stored.withColumn("id", F.lit(batch_id << 32).cast("bigint") + F.col("_place") + 1)
         names = [f.name for f in schemas.PREDICTION.fields]
         write_predictions(stored.select(*names), tables.path("predictions"), batch_id)
         mine = tables.predictions(as_stored=True).filter(F.col("batch_id") == batch_id)

@@ -10,39 +10,45 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Config
-from ..operators.anomaly import ema_step
+from ..operators.anomaly import smoothing, surge_marks
 from ..session import STATE_STORE
 
 _STATE = "ema_count double, ema_rate double"
-_OUTPUT = (
+_MEANS = (
     "stream string, window_start timestamp, total_jobs bigint, fraud_jobs bigint, fraud_rate double, "
-    "is_anomaly boolean, anomaly_reason string, ema_count double, ema_rate double"
+    "prior_count double, prior_rate double, ema_count double, ema_rate double"
 )
 
 
-class BaselineProcessor(StatefulProcessor):
-    """Keeps the two means of one stream key; windows come in as they close."""
+class MeansProcessor(StatefulProcessor):
+    """Keeps the two means of one stream key and gives each window those before and
+    after it; what they say about the window is left to column expressions."""
 
-    def __init__(self, config: Config = DEFAULT):
-        self.config = config
+    def __init__(self, alpha: float):
+        self.alpha = alpha
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.baseline = handle.getValueState("baseline", _STATE)
+        self.means = handle.getValueState("means", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the windows closed by one trigger, few per key
-        closed = pd.concat(list(rows)).sort_values("window_start")
-        state = tuple(self.baseline.get()) if self.baseline.exists() else None
-        out = []
-        for row in closed.itertuples(index=False):
-            flag, reason, state = ema_step(state, int(row.fraud_jobs), float(row.fraud_rate), self.config)
-            out.append(
-                (key[0], row.window_start, row.total_jobs, row.fraud_jobs, row.fraud_rate, flag, reason, *state)
-            )
-        if state is not None:
-            self.baseline.update(state)
-        names = [part.split()[0] for part in _OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        # the windows of one key that one trigger closed, a row for each hour or minute
+        closed = pd.concat(list(rows)).sort_values("window_start", ignore_index=True)
+        figures = closed[["fraud_jobs", "fraud_rate"]].astype(float).set_axis(["count", "rate"], axis=1)
+        if self.means.exists():
+            held = pd.DataFrame([tuple(self.means.get())], columns=["count", "rate"])
+            after = pd.concat([held, figures]).ewm(alpha=self.alpha, adjust=False).mean()
+            before, after = after.iloc[:-1], after.iloc[1:]
+        else:
+            after = figures.ewm(alpha=self.alpha, adjust=False).mean()
+            before = after.shift(1)
+        self.means.update(tuple(after.iloc[-1]))
+        parts = {
+            "stream": key[0],
+            **{c: closed[c].to_numpy() for c in ("window_start", "total_jobs", "fraud_jobs", "fraud_rate")},
+            **{f"prior_{c}": before[c].to_numpy() for c in ("count", "rate")},
+            **{f"ema_{c}": after[c].to_numpy() for c in ("count", "rate")},
+        }
+        yield pd.DataFrame(parts)
 
     def close(self) -> None:
         pass
@@ -55,12 +61,16 @@ def stream_ema_anomaly(windows: DataFrame, config: Config = DEFAULT) -> DataFram
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     keyed = windows if "stream" in windows.columns else windows.withColumn("stream", F.lit("all"))
     rows = keyed.select("stream", "window_start", "total_jobs", "fraud_jobs", "fraud_rate")
-    return rows.groupBy("stream").transformWithStateInPandas(
-        statefulProcessor=BaselineProcessor(config),
-        outputStructType=_OUTPUT,
+    means = rows.groupBy("stream").transformWithStateInPandas(
+        statefulProcessor=MeansProcessor(smoothing(config)),
+        outputStructType=_MEANS,
         outputMode="Append",
         timeMode="None",
     )
+    flag, text = surge_marks(config)
+    return means.select(
+        *rows.columns, flag.alias("is_anomaly"), text.alias("anomaly_reason"), "ema_count", "ema_rate"
+    )
 
 
 def window_metrics_sink(

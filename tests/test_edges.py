@@ -173,15 +173,33 @@ def test_correction_by_cluster_size(spark, n, flips):
     assert again.count() == 0
 
 
-def test_ema_steps():
-    flag, reason, state = anomaly.ema_step(None, 8, 0.9)
-    assert (flag, reason, state) == (False, anomaly.WARMUP, (8.0, 0.9))
-    flag, reason, _ = anomaly.ema_step((1.0, 0.1), 8, 0.1)
-    assert flag and reason == "fraud_count_spike:8>=8.00"
-    assert not anomaly.ema_step((1.0, 0.1), 7, 0.1)[0]
-    flag, reason, state = anomaly.ema_step((1.0, 0.1), 2, 0.55)
-    assert flag and reason == "fraud_rate_spike:0.550>=0.550" and state == pytest.approx((1.2, 0.19))
-    assert not anomaly.ema_step((1.0, 0.1), 1, 1.0)[0]
+def test_surge_marks(spark):
+    rows = [(8, 0.9, None, None), (8, 0.1, 1.0, 0.1), (7, 0.1, 1.0, 0.1), (2, 0.55, 1.0, 0.1), (1, 1.0, 1.0, 0.1), (30, 0.9, 10.0, 0.4)]
+    frame = spark.createDataFrame(rows, "fraud_jobs bigint, fraud_rate double, prior_count double, prior_rate double")
+    flag, text = anomaly.surge_marks()
+    assert [tuple(r) for r in frame.select(flag, text).collect()] == [
+        (False, anomaly.WARMUP),
+        (True, "fraud_count_spike:8>=8.00"),
+        (False, anomaly.NORMAL),
+        (True, "fraud_rate_spike:0.550>=0.550"),
+        (False, anomaly.NORMAL),
+        (True, "fraud_count_spike:30>=22.00; fraud_rate_spike:0.900>=0.720"),
+    ]
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.2, 0.9, 2.0])
+def test_means_over_many_slices(spark, alpha):
+    config = Config(ema_alpha=alpha)
+    figures = {name: [(i * 7919) % 101 for i in range(n)] for name, n in (("a", 1500), ("b", 1), ("c", 40))}
+    rows = [(k, i, x, x / 101) for k, xs in figures.items() for i, x in enumerate(xs)]
+    stats = spark.createDataFrame(rows, "stream string, window_start int, fraud_jobs bigint, fraud_rate double")
+    got = {(r["stream"], r["window_start"]): (r["ema_count"], r["ema_rate"]) for r in anomaly.ema_anomaly(stats, config=config).collect()}
+    a = anomaly.smoothing(config)
+    for name, xs in figures.items():
+        mean = None
+        for i, x in enumerate(xs):
+            mean = float(x) if mean is None else a * x + (1 - a) * mean
+            assert got[name, i] == pytest.approx((mean, mean / 101), rel=1e-9, abs=1e-12)
 
 
 QUEUE = "job_id string, queued_at timestamp_ntz, attempts int, next_retry_at timestamp_ntz, failure_stage string, failure_reason string"

@@ -140,8 +140,8 @@ def test_matches_and_clusters_by_hand(spark):
     weights: dict[str, dict[str, float]] = {}
     for r in tfidf_weights(df).collect():
         weights.setdefault(r["job_id"], {})[r["term"]] = r["weight"]
-    config = replace(HOT, candidate_limit=17)
-    want = brute_force(rows, weights, 17, 24, 0.8)
+    config = HOT
+    want = brute_force(rows, weights, len(rows), 24, 0.8)
     got = {r["job_id"]: (r["match_job_id"], r["similarity"]) for r in similarity.similar_prior_postings(df, config).collect()}
     assert got == want and len(want) > 50
     clusters = {r["job_id"]: r["cluster_id"] for r in similarity.assign_clusters(df, config).collect()}
@@ -151,6 +151,15 @@ def test_matches_and_clusters_by_hand(spark):
             assert clusters[name] == clusters[want[name][0]]
 
 
+def test_a_match_far_back_counts_until_the_window_ends(spark):
+    rows = [("first", "rare words of one text", START), ("copy", "rare words of one text", START + timedelta(hours=24))]
+    rows += [(f"n{i:03d}", f"filler {i} number {i * 7} again", START + timedelta(minutes=1 + i)) for i in range(700)]
+    rows += [("late", "rare words of one text again", START + timedelta(hours=23)), ("gone", "filler 3 number 21 again", START + timedelta(hours=25))]
+    df = spark.createDataFrame(rows, "job_id string, combined_text string, created_at timestamp_ntz")
+    got = {r["job_id"]: r["match_job_id"] for r in similarity.similar_prior_postings(df).collect()}
+    assert got["copy"] == "first" and got["late"] == "first" and got.get("gone") != "n003"
+
+
 def test_supplied_ids_and_candidates_only(spark):
     df = spark.createDataFrame(
         [
