@@ -22,6 +22,16 @@ def _hourly(df: DataFrame, time: str, now: Column, window_hours: int, *aggs: Col
     return recent.groupBy(hour_start(time).alias("bucket_start")).agg(*aggs)
 
 
+def fill_hours(
+    df: DataFrame, window_hours: int = 24, as_of: Column | datetime | str | None = None, time: str = "created_at"
+) -> DataFrame:
+    """Rows per hour of the window, hours without rows as 0."""
+    now = clock(df, time, as_of)
+    # one row per hour of the report
+    counts = F.broadcast(_hourly(df, time, now, window_hours, F.count(F.lit(1)).alias("total")))
+    return hour_spine(df, now, window_hours).join(counts, "bucket_start", "left").select("bucket_start", _filled("total"))
+
+
 def bucket_label(c: Column | str = "bucket_start") -> Column:
     return F.date_format(c, "HH:mm")
 

@@ -52,7 +52,9 @@ oracle("new_predictions_since", """
 SELECT id, job_id, prediction, confidence FROM predictions WHERE id > 100 ORDER BY id LIMIT 200""", "confidence")
 oracle("latest_prediction_id", "SELECT coalesce(max(id), 0) AS latest_id FROM predictions")
 
-oracle("publish_postings", f"SELECT job_id AS key, {strip('title')} AS title FROM postings")
+oracle("publish_postings", f"""
+SELECT job_id AS key, job_id AS id, {strip("title")} AS title, {strip("description")} AS description, company,
+  event_timestamp AS "timestamp" FROM postings""")
 oracle("sanitize_prediction", f"""
 SELECT job_id, nullif({strip("title")}, '') AS title, prediction, confidence,
   CASE WHEN doc_id % 4 <> 0 THEN 'some reason' END AS reason, doc_id % 3 = 0 AS is_anomaly,
@@ -91,7 +93,7 @@ oracle("emit_corrections", """
 SELECT job_id, old_score, new_score, new_reason AS reason, correction_type, as_of AS updated_at FROM corrected, clock""",
        "old_score new_score")
 _CLOSED = "window_start + INTERVAL 1 HOUR <= as_of - INTERVAL 1 HOUR"
-oracle("window_metrics_sink", f"SELECT hour_windows.* FROM hour_windows, clock WHERE {_CLOSED}", "fraud_rate")
+oracle("window_metrics_sink", "SELECT * FROM hour_windows", "fraud_rate")
 oracle("upgrade_predictions", """
 SELECT job_id, prediction, 1 AS version, false AS is_corrected, original_score, updated_score,
   updated_score AS risk_score, is_anomaly
@@ -101,8 +103,9 @@ FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE ELSE original_score E
     ELSE greatest(0, 1 - coalesce(confidence, 0)) END AS original_score FROM scored))""",
        "original_score updated_score risk_score")
 oracle("upgrade_corrections", """
-SELECT CASE WHEN new_score >= 0.9::DOUBLE THEN correction_type ELSE 'RISK_INCREASE' END AS correction_type,
-  count(*) AS n FROM history GROUP BY 1""")
+SELECT job_id, old_score, new_score, updated_at,
+  CASE WHEN new_score >= 0.9::DOUBLE THEN correction_type ELSE 'RISK_INCREASE' END AS correction_type FROM history""",
+       "old_score new_score")
 
 oracle("combined_text", "SELECT job_id, combined_text FROM texts")
 oracle("event_time", """
@@ -120,6 +123,13 @@ oracle("posting_numbers", """
 SELECT job_id, CASE WHEN trim(coalesce(company_profile, '')) <> '' THEN 1 ELSE 0 END AS has_company_profile,
   CASE WHEN salary_range IS NOT NULL THEN 1 ELSE 0 END AS has_salary_range,
   CAST(length(combined_text) AS INTEGER) AS text_length FROM training_texts""")
+oracle("assemble_features", """
+SELECT job_id, CASE WHEN trim(coalesce(company_profile, '')) <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS profile,
+  CASE WHEN salary_range IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS salary, length(combined_text)::DOUBLE AS length
+FROM training_texts""")
+oracle("train_test_split", """
+SELECT job_id, CASE WHEN ('0x' || substr(md5(job_id || '|42'), 1, 8))::BIGINT % 10000 < 8000 THEN 'train' ELSE 'test' END AS part
+FROM training""")
 oracle("serve_time_features", f"""
 SELECT job_id, CASE WHEN {strip('combined_text')} <> '' THEN 1 ELSE 0 END AS has_company_profile,
   CASE WHEN regexp_matches(combined_text, '[0-9]') THEN 1 ELSE 0 END AS has_salary_range,
@@ -214,7 +224,10 @@ SELECT batch_id, batch_started_at, batch_completed_at, jobs_received, jobs_inser
        "spark_batch_time_ms db_insert_time_ms throughput_jobs_per_sec avg_latency_ms error_rate fraud_rate anomaly_rate")
 oracle("dashboard_metrics", "SELECT * FROM dashboard", "fake_percentage throughput avg_confidence processing_latency_ms")
 oracle("hourly_trends", "SELECT * FROM trends", "throughput")
-oracle("fill_hours", "SELECT * FROM spine")
+oracle("fill_hours", """
+SELECT s.bucket_start, count(p.id) AS total FROM spine s CROSS JOIN clock c LEFT JOIN predictions p
+  ON date_trunc('hour', p.created_at) = s.bucket_start AND p.created_at BETWEEN c.as_of - INTERVAL 24 HOUR AND c.as_of
+GROUP BY 1""")
 oracle("cluster_spikes", "SELECT * FROM spikes")
 oracle("spike_pressure", "SELECT *, cluster_jobs + corrections AS pressure FROM spikes")
 oracle("top_clusters", "SELECT * FROM top", "pressure_score peak_score")
@@ -407,3 +420,10 @@ SELECT count(*) AS total_jobs, count(*) FILTER (WHERE prediction = 1) AS fake_jo
   count(*) FILTER (WHERE prediction <> 1) AS real_jobs, count(*) FILTER (WHERE prediction = 1) * 100.0::DOUBLE / count(*) AS fake_percentage,
   max(created_at) AS last_processed_at FROM predictions""", "fake_percentage")
 oracle("alert_stream", "SELECT * FROM alert_rows", "risk risk_score")
+oracle("snapshot", """
+SELECT 'metrics' AS frame, 1 AS n UNION ALL SELECT 'trends', 25 UNION ALL SELECT 'cluster_spikes', 25
+UNION ALL SELECT 'system_metrics', 1 UNION ALL SELECT 'recent_activity', 1
+UNION ALL SELECT 'alerts', (SELECT least(25, count(*)) FROM versions WHERE prediction = 1)
+UNION ALL SELECT 'corrections', (SELECT least(25, count(*)) FROM history_jobs)
+UNION ALL SELECT 'top_clusters', (SELECT least(8, count(DISTINCT cluster_id)) FROM members, clock
+  WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of)""")

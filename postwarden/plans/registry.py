@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -187,7 +188,7 @@ def publish_postings(spark, sf):
     rows = so.normalize_posting(fx.postings(spark, sf).withColumn("timestamp", F.col("event_timestamp")).drop("created_at"))
     sk.publish_postings(rows, "json", {"path": path})
     back = spark.read.schema("key string, value string").json(path)
-    return back.select("key", F.get_json_object("value", "$.title").alias("title"))
+    return back.select("key", F.from_json("value", schemas.POSTING).alias("sent")).select("key", "sent.*")
 
 
 @query
@@ -232,11 +233,13 @@ def write_batch_metrics(spark, sf):
 
 @query
 def write_dead_letters(spark, sf):
-    queue = fx.retry_queue(spark, sf)
-    return re_.dead_letter_records(
-        queue.select("job_id", "title", "confidence", "reason", "attempts", "failure_stage", "failure_reason"),
-        F.col("failure_stage"), F.col("failure_reason"), F.col("attempts") - 2,
-    ).withColumn("payload_json", F.get_json_object("payload_json", "$.job_id"))
+    path, columns = scratch_path(spark), ("title", "confidence", "reason", "attempts", "failure_stage", "failure_reason")
+    queue = fx.retry_queue(spark, sf).select("job_id", *columns)
+    # the second write of the batch replaces the first
+    for _ in range(2):
+        sk.write_dead_letters(queue, path, F.col("failure_stage"), F.col("failure_reason"), 0, F.col("attempts") - 2)
+    back = spark.read.parquet(path).drop("batch_id")
+    return back.withColumn("payload_json", F.get_json_object("payload_json", "$.job_id"))
 
 
 @query
@@ -258,9 +261,9 @@ def window_metrics_sink(spark, sf):
     stream = _event_stream(spark, sf)
     windows = an.fraud_windows(stream, "ts", "1 hour", "1 hour")
     sw.window_metrics_sink(
-        windows, f"{path}/checkpoint", "parquet", path=f"{path}/out", available_now=True
+        windows, f"{path}/checkpoint", "table", path=f"{path}/out", available_now=True
     ).awaitTermination()
-    back = spark.read.schema(windows.schema).parquet(f"{path}/out")
+    back = sw.latest_windows(spark.read.parquet(f"{path}/out"))
     return back.select("window_start", "total_jobs", "fraud_jobs", "fraud_rate")
 
 
@@ -284,7 +287,7 @@ def upgrade_corrections(spark, sf):
     rows = fx.corrections(spark, sf)
     kind = F.when(F.col("new_score") >= 0.9, F.col("correction_type"))
     upgraded = re_.upgrade_corrections(rows.withColumn("correction_type", kind))
-    return upgraded.groupBy("correction_type").agg(F.count(F.lit(1)).alias("n"))
+    return upgraded.select("job_id", "old_score", "new_score", "updated_at", "correction_type")
 
 
 # ---- features and rules
@@ -579,7 +582,7 @@ def hourly_trends(spark, sf):
 
 @query
 def fill_hours(spark, sf):
-    return tr.hour_spine(fx.predictions(spark, sf), fx.as_of(spark, sf), 24)
+    return tr.fill_hours(fx.predictions(spark, sf), 24, fx.as_of(spark, sf))
 
 
 @query
@@ -927,7 +930,13 @@ def stream_ema_anomaly(spark, sf):
 
 @query
 def live_counters(spark, sf):
-    return st.live_counters(fx.predictions(spark, sf))
+    path, name = scratch_path(spark), "live_counters_" + uuid.uuid4().hex
+    rows = fx.predictions(spark, sf).withColumn("batch_id", F.floor(F.col("id") / 700))
+    sk.write_predictions(rows, f"{path}/predictions", None)
+    counters = st.live_counters(st.prediction_stream(spark, path, 1000)).writeStream.outputMode("complete")
+    counters = counters.format("memory").queryName(name).option("checkpointLocation", f"{path}/checkpoint")
+    counters.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..config import DEFAULT, Config
 from ..operators.anomaly import smoothing, surge_marks
 from ..session import STATE_STORE
+from ..sinks.tables import write_batch
 
 _STATE = "ema_count double, ema_rate double"
 _MEANS = (
@@ -82,7 +83,15 @@ def window_metrics_sink(
     mode: str = "append",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Window figures to a table in memory or to files, with their own checkpoint."""
+    """Window figures to a table in memory or to files, with their own checkpoint.
+
+    ``table`` writes each change of a window below ``path``, open windows included;
+    ``latest_windows`` reads their present state.
+    """
+    if format == "table":
+        changes = windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        changes = changes.foreachBatch(lambda rows, batch_id: write_batch(rows, path, batch_id))
+        return (changes.trigger(availableNow=True) if available_now else changes).start()
     writer = windows.writeStream.format(format).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name)
     if path:
@@ -90,3 +99,10 @@ def window_metrics_sink(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def latest_windows(windows: DataFrame) -> DataFrame:
+    """The present state of each window from the table of its changes."""
+    rest = [c for c in windows.columns if c not in ("window_start", "batch_id")]
+    newest = F.max(F.struct("batch_id", *rest)).alias("newest")
+    return windows.groupBy("window_start").agg(newest).select("window_start", *[f"newest.{c}" for c in rest])

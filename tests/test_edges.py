@@ -272,3 +272,28 @@ def test_truth_table_of_evaluate(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "fraudulent int, prediction int")
     row = evaluate(df).first()
     assert (row["accuracy"], row["precision"], row["recall"], row["f1"]) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_retry_pass_loses_no_row_that_shares_a_job(spark):
+    at = datetime(2024, 1, 1)
+    late = datetime(2024, 1, 9)
+    rows = [("a", at, 1, at), ("a", at, 2, late), ("b", at, 3, at), ("b", late, 3, late), ("a", late, 1, at)]
+    queue = spark.createDataFrame(
+        [(j, "t", 0.5, q, n, d, "db_insert", "x") for j, q, n, d in rows],
+        "job_id string, title string, confidence double, queued_at timestamp_ntz, attempts int, "
+        "next_retry_at timestamp_ntz, failure_stage string, failure_reason string",
+    )
+    out = retry.retry_pass(queue, lambda due: (due.filter("job_id = 'a'"), due.filter("job_id = 'b'")), datetime(2024, 1, 2))
+    assert [out[k].count() for k in ("stored", "queue", "dead")] == [2, 3, 0]
+
+
+def test_reports_leave_out_rows_after_their_instant(spark):
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    members = spark.createDataFrame(
+        [("c", f"j{i}", t) for i, t in enumerate((day(9, 23), day(10), day(15)))], "cluster_id string, job_id string, created_at timestamp_ntz"
+    )
+    got = pressure.cluster_pressure(members, "2024-01-10 00:00:00").first()
+    assert (got["count_1h"], got["count_24h"]) == (1, 2)
+    rows = members.withColumns({"prediction": F.lit(1), "id": F.lit(1)})
+    assert metrics.recent_activity(rows, 120, "2024-01-10 00:00:00").first()["recent_jobs"] == 2
+    assert sum(r["total"] for r in trends.fill_hours(rows, 24, "2024-01-10 00:00:00").collect()) == 2
