@@ -79,10 +79,10 @@ class Config:
     # health
     down_lag: int = 2000
     recovery_seconds: int = 30
-    # layout: rows one task should hold for one key, and the time slice that
-    # splits a key's history in running sums
+    # layout: rows one task should hold for one key, and rows of a slice that
+    # splits a key's history in running sums and folds
     hot_key_rows: int = 1_000_000
-    slice_seconds: int = 3600
+    slice_rows: int = 20_000
 
 
 DEFAULT = Config()

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..session import cut_lineage
-from .scalars import micros
 
 _ROW_BITS = (1 << 33) - 1
 
@@ -50,15 +49,16 @@ def sliced_running_sum(
     key: str,
     time: str,
     values: Sequence[str],
-    slice_seconds: int = DEFAULT.slice_seconds,
+    slice_rows: int = DEFAULT.slice_rows,
 ) -> DataFrame:
     """Replace ``values`` by their running sums per key in time order.
 
-    Needs one row per (key, time). The history of a key is cut into time slices
-    that are summed apart; the sums of earlier slices come from a table with one
-    row per key and slice.
+    Needs one row per (key, time). The global order is cut into slices of equal
+    length, which are summed apart for each key; the sums of earlier slices come
+    from a table with one row per key and slice, so a hot key or instant is spread.
     """
-    cut = df.withColumn("_slice", F.floor(micros(time) / F.lit(slice_seconds * 1_000_000)))
+    placed = global_order(df, [key, time], "_place").drop("_part")
+    cut = placed.withColumn("_slice", F.floor(F.col("_place") / F.lit(slice_rows))).drop("_place")
     within = Window.partitionBy(key, "_slice").orderBy(time)
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.layout import global_order
 from ..functions.scalars import micros
 
 # Messages for unhealthy services.
@@ -51,25 +52,34 @@ def system_mode(status: DataFrame, key: str | None = None, config: Config = DEFA
     """Mode per sample: degraded while unhealthy, recovery from the first healthy
     sample after that, normal once more than 30 s have passed since.
 
-    The last unhealthy sample decides, so plain windows do; there is one row per
-    poll of a deployment (``key``), not per posting.
+    The last unhealthy sample decides. It is looked up inside slices of the global
+    order and carried over from the slices before, so the history of a deployment
+    (``key``) never lies in one task.
     """
-    groups = [key] if key else []
-    base = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    order = base.orderBy("sample_at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    # for an unhealthy sample the time of the sample after it, where recovery starts
-    next_at = F.lead("sample_at").over(order)
-    marked = status.withColumn("_restart", F.when(F.col("degraded"), F.struct(next_at.alias("at"))))
-    start = F.last("_restart", ignorenulls=True).over(upto)
+    own = key or "_all"
+    rows = status if key else status.withColumn(own, F.lit(0))
+    placed = global_order(rows, [own, "sample_at"], "_place").drop("_part")
+    # the sample after each one, where recovery from it would start
+    after = placed.select((F.col("_place") - 1).alias("_place"), F.col(own).alias("_owner"), F.col("sample_at").alias("_next"))
+    marked = placed.join(after, "_place", "left").withColumn("_slice", F.floor(F.col("_place") / F.lit(config.slice_rows)))
+    next_at = F.when(F.col("_owner").eqNullSafe(F.col(own)), F.col("_next"))
+    restart = F.when(F.col("degraded"), F.struct(F.col("_place").alias("place"), next_at.alias("at")))
+    marked = marked.withColumn("_restart", restart)
+    inside = Window.partitionBy(own, "_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(own).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(own, "_slice").agg(F.max("_restart").alias("_held"))
+    carried = carried.select(
+        F.col(own).alias("_owner"), F.col("_slice").alias("_of"), F.last("_held", ignorenulls=True).over(before).alias("_held")
+    )
+    found = marked.drop("_owner").withColumn("_start", F.last("_restart", ignorenulls=True).over(inside))
+    same = found[own].eqNullSafe(carried["_owner"]) & (found["_slice"] == carried["_of"])
+    found = found.join(carried, same).withColumn("_start", F.coalesce("_start", "_held"))
     waited = (micros("sample_at") - micros(F.col("_start.at"))) / F.lit(1e6)
     mode = (
         F.when(F.col("degraded"), "degraded")
         .when(F.col("_start").isNull() | (waited > config.recovery_seconds), "normal")
         .otherwise("recovery")
     )
-    staged = marked.withColumn("_start", start).withColumn("mode", mode)
     messages = F.when(F.col("mode") == "recovery", F.array(F.lit(RECOVERING))).otherwise(F.col("messages"))
-    return staged.withColumn("messages", messages).withColumn("degraded", F.col("mode") != "normal").drop(
-        "_restart", "_start"
-    )
+    staged = found.withColumn("mode", mode).withColumn("messages", messages)
+    return staged.withColumn("degraded", F.col("mode") != "normal").select(*status.columns, "mode")

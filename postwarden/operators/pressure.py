@@ -8,9 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.layout import sliced_running_sum, split_join
+from ..functions.layout import global_order, sliced_running_sum, split_join
 from ..functions.scalars import clamp01, clock, count_if, from_micros, hours, micros, safe_double, safe_int
-from ..session import cut_lineage
 from .records import INCREASE, UPGRADE
 from .rules import base_score
 
@@ -69,7 +68,7 @@ def pressure_timeline(members: DataFrame, config: Config = DEFAULT) -> DataFrame
         *[F.sum(c).alias(c) for c in counts], F.max("entry").alias("entry")
     )
     timed = instants.withColumn("created_at", from_micros(F.col("us"))).drop("us")
-    running = sliced_running_sum(timed, "cluster_id", "created_at", counts, config.slice_seconds)
+    running = sliced_running_sum(timed, "cluster_id", "created_at", counts, config.slice_rows)
     return running.filter("entry").select(
         "cluster_id", "created_at", *counts, F.log1p("count_24h").alias("pressure_score")
     )
@@ -229,12 +228,13 @@ def correction_history(predictions: DataFrame, members: DataFrame, config: Confi
     """
     cap = _levels(config)
     # read twice below, and narrow next to what it is made from
-    timeline = cut_lineage(pressure_timeline(members, config)).withColumn("level", F.least(F.lit(cap), F.col("count_24h")))
-    order = Window.partitionBy("cluster_id", "_day").orderBy("created_at")
-    days = timeline.withColumn("_day", F.floor(micros("created_at") / F.lit(24 * _HOUR_US)))
+    timeline = global_order(pressure_timeline(members, config), ["cluster_id", "created_at"], "_place")
+    timeline = timeline.withColumn("level", F.least(F.lit(cap), F.col("count_24h")))
+    order = Window.partitionBy("cluster_id", "_slice").orderBy("created_at")
+    slices = timeline.withColumn("_slice", F.floor(F.col("_place") / F.lit(config.slice_rows)))
     # the first instant of a slice is kept as a wave; a repeated level does no harm
     waves = (
-        days.withColumn("_last", F.lag("level").over(order))
+        slices.withColumn("_last", F.lag("level").over(order))
         .filter(F.col("_last").isNull() | (F.col("_last") != F.col("level")))
         .select(
             "cluster_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixture_sql import CTES, REASON_TEXT, alert_columns, clean, ema, strip, with_ctes
+from .fixture_sql import alert_columns, clean, ema, strip, with_ctes
 
 ORACLES: dict[str, str] = {}
 

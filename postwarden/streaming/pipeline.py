@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..config import DEFAULT, Config
 from ..functions.layout import global_order
-from ..functions.scalars import as_time, count_if, hours, is_one, ntz, parse_time
+from ..functions.scalars import as_time, count_if, hours, is_one
 from ..operators.alerts import alert_from_prediction
 from ..operators.anomaly import smoothing, surge_marks
 from ..operators.features import clean_text, combined_text, serve_time_features

@@ -16,7 +16,7 @@ from postwarden.functions.layout import global_order, sliced_running_sum, split_
 from postwarden.operators import pressure, similarity
 from postwarden.operators.vectors import tfidf_weights
 
-HOT = replace(DEFAULT, hot_key_rows=7, slice_seconds=1800)
+HOT = replace(DEFAULT, hot_key_rows=7, slice_rows=5)
 START = datetime(2024, 1, 1)
 
 
@@ -34,7 +34,7 @@ def test_running_sums(spark):
     for _ in range(3000):
         rows[(rng.choice("aaaab"), START + timedelta(seconds=rng.randrange(200_000)))] = rng.randrange(-5, 6)
     df = spark.createDataFrame([(k, t, v) for (k, t), v in rows.items()], "k string, t timestamp_ntz, v bigint")
-    got = {(r["k"], r["t"]): r["v"] for r in sliced_running_sum(df, "k", "t", ["v"], 1800).collect()}
+    got = {(r["k"], r["t"]): r["v"] for r in sliced_running_sum(df, "k", "t", ["v"], 5).collect()}
     sums, want = {}, {}
     for (k, t), v in sorted(rows.items()):
         sums[k] = sums.get(k, 0) + v
