@@ -312,9 +312,9 @@ def _verify(distance: int):
 
 def _links(distinct: DataFrame, parts: list[Part], distance: int, cell_rows: int) -> DataFrame:
     probes = mapped(distinct, _probes(parts), "part int, cell long, bits long, own boolean")
-    used = probes.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned"))
-    used = used.filter("owned and n > 1").select("part", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("slices"))
-    placed = probes.join(used, ["part", "cell"])
+    large = probes.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    large = large.select("part", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("slices"))
+    placed = probes.join(large, ["part", "cell"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("bits"), F.col("slices")).cast("int")
     placed = placed.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     placed = placed.select(
