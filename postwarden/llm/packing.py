@@ -30,8 +30,8 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 LENGTH = 4096
 #: Ids of a task and of a shard; query terms of a seed; the usual BM25 constants.
 TASK_IDS, SHARD_IDS, TERMS, K1, B = 8_000_000, 2_000_000, 12, 1.2, 0.75
-#: Bytes of words and ids that a worker keeps.
-HELD = 300 << 20
+#: Bytes of words and ids that a worker keeps, and of texts whose words it holds at once.
+HELD, RUN_BYTES = 300 << 20, 2 << 20
 #: Letters whose lower and composed forms are letters again.
 _letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +112,7 @@ class Words(dict):
         at = 0
         while at < len(contents):
             some, size = [], 0
-            while at < len(contents) and (not some or size < 1 << 23):
+            while at < len(contents) and (not some or size < RUN_BYTES):
                 some.append(words_of(lowered(contents[at])))
                 size += len(contents[at])
                 at += 1
@@ -163,12 +163,13 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def _count_documents(kind: str, size: int):
     def run(batches: Batches) -> Batches:
-        seen = np.zeros(size, np.int64)
+        seen, here = np.zeros(size, np.int64), np.zeros(size, bool)
         for batch in batches:
             for ids in batch.column("ids"):
-                here = np.zeros(size, bool)
                 here[np.frombuffer(ids.as_buffer(), kind)] = True
-                seen += here
+                found = np.flatnonzero(here)
+                seen[found] += 1
+                here[found] = False
         used = np.flatnonzero(seen)
         yield batch_of([pa.array(used), pa.array(seen[used])], ["id", "n"])
 

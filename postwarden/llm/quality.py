@@ -27,7 +27,7 @@ SAMPLE_ROWS = 20_000
 ROUNDS, PRIOR, AGREEMENT, SMOOTHING, BETTER = 200, 0.8, 0.7, 1.0, 3.0
 BUCKETS, STEPS, RATE, SHRINK = 1 << 12, 300, 0.05, 1e-4
 KEEP = 0.5
-HELD = 400_000
+HELD = 100_000
 _SYMBOLS, _CAPITALS, _LETTERS, _DIGITS = (
     b"#$%&*<>{}[]\\^~=_@|",
     bytes(range(65, 91)),

@@ -28,7 +28,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS, RATE, SHRINK, COUNTERFACTUAL = 200, 0.05, 1e-5, 1.0
 REJECT = 0.7
 #: Words whose weights or features a worker keeps.
-HELD = 400_000
+HELD = 100_000
 
 #: Names of groups; a name is exchanged for the next of its line.
 IDENTITIES = (

@@ -31,7 +31,7 @@ def ids_of(tokenizer, text):
 
 def test_words_give_the_ids_of_the_text(tokenizer):
     rng, words = random.Random(7), packing.Words(PATH)
-    alphabet = list("  \n\t\x0b\x1c\x85\xa0　ab'STéÉİſǅΣ漢字١²½🙂!?-.,;") + ["'re", "'s", "é", "́", "<|endoftext|>", "w. ", "w, "]
+    alphabet = list("  \n\t\x0b\x1c\x85\xa0　ab'STéÉİſǅΣ漢字١²½🙂!?-.,;") + ["'re", "'s", "é", "́", "<|endoftext|>", "w. ", "w, ", "J\u030c", "H\u0331", "\u0130."]
     given = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)] + ["", "x" * 5000, "a. " * 1000]
     for text, ids in zip(given, words.encode([t.encode() for t in given])):
         assert np.frombuffer(ids, words.kind).tolist() == ids_of(tokenizer, text), repr(text)
