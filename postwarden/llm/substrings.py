@@ -33,7 +33,7 @@ from .common import Batches, as_bytes, batch_of, fresh, mapped, texts, words_of
 #: Words of a window and of the gram that owns it.
 WINDOW, GRAM = 50, 12
 #: Passages in one automaton, bytes of words whose hashes a worker keeps.
-SHARD, HELD = 20_000, 64 << 20
+SHARD, HELD = 20_000, 32 << 20
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,12 +175,15 @@ def recurring_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
         .filter("lowest < highest")
         .select("gram", (F.col("n") > 1).alias("several"))
     )
+    # written, so that the join has plain shuffles on both sides and can split a hot gram
+    shared = cut_lineage(shared)
     needed = cut_lineage(contents.join(shared, "gram").select(*_PASSAGE, "first.doc_id", "first.at", "last", "several"))
 
     wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct(*_PASSAGE, "at", "several")).alias("wanted"))
     kind = "doc_id long, gram long, left int, size int, content long, phrase binary, windows array<long>"
     read = cut_lineage(mapped(plain.join(wanted, "doc_id"), _read_passages(window, gram), kind).distinct())
     phrases = read.groupBy("gram").agg(F.min(F.struct("doc_id", "phrase")).alias("lowest")).select("gram", "lowest.phrase")
+    phrases = cut_lineage(phrases)
 
     repeats = needed.filter("last > doc_id").select(*_PASSAGE, F.col("doc_id").alias("first"))
     whole = found.join(repeats, _PASSAGE).filter(F.col("doc_id") > F.col("first"))
