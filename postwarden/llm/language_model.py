@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import json
 import mmap
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -203,19 +201,14 @@ def _write(folder: str, name: str, sections: dict[str, np.ndarray]) -> None:
 
 @lru_cache(maxsize=512)
 def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The file mapped into memory; a store that is no local folder is first copied to
-    a file that is already unlinked, so nothing stays behind."""
+    """The file mapped into memory where the shared folder is mounted; of a store that
+    is not, its bytes, as nothing may be written to a worker's own disk."""
     store, path = _place(folder)
     if isinstance(store, pafs.LocalFileSystem):
         with open(f"{path}/{name}", "rb") as file:
             return unpack(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-    handle, local = tempfile.mkstemp()
-    os.unlink(local)
-    with os.fdopen(handle, "w+b") as file, store.open_input_stream(f"{path}/{name}") as source:
-        while block := source.read(1 << 22):
-            file.write(block)
-        file.flush()
-        return unpack(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    with store.open_input_stream(f"{path}/{name}") as source:
+        return unpack(memoryview(source.read()))
 
 
 # --- training -----------------------------------------------------------------------

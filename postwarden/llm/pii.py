@@ -207,10 +207,10 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT) -> Da
     near = near.groupBy("kind", "term").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("texts"))
     terms = mapped(texts(docs), _count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     near, terms = cut_lineage(near), cut_lineage(terms)
-    every = terms.agg(F.sum("n").alias("every"))
+    every = terms.agg(F.sum("n").alias("every")).scalar()
     kinds = near.groupBy("kind").agg(F.sum("near").alias("of_kind"))
     # one row for each of the four kinds
-    kinds = kinds.join(F.broadcast(every)).select("kind", (-F.log(F.col("of_kind") / F.col("every"))).alias("information"))
+    kinds = kinds.select("kind", (-F.log(F.col("of_kind") / every)).alias("information"))
     told = near.filter(F.col("texts") >= support).join(terms, "term").join(F.broadcast(kinds), "kind")
     share = F.log(F.least(F.col("near") / F.col("n"), F.lit(1.0)))
     information = F.greatest("information", F.lit(1e-9))
