@@ -68,18 +68,19 @@ class BatchWriter:
 
     The surge baseline and the clock of each batch are rows of a small state table,
     so a restart goes on where it stopped and a replayed batch writes the same rows.
+    Clusters weigh all terms of the batch and its window, as in a batch table; the
+    classifier's ``vectorizer``, which knows its most used terms alone, has no part.
     """
 
     def __init__(
         self,
         tables: Tables,
-        vectorizer: PipelineModel,
+        vectorizer: PipelineModel | None = None,
         config: Config = DEFAULT,
         processed_format: str | None = None,
         processed_options: dict[str, str] | None = None,
     ):
         self.tables = tables
-        self.vectorizer = vectorizer
         self.config = config
         self.processed_format = processed_format
         self.processed_options = processed_options or {}
@@ -153,7 +154,7 @@ class BatchWriter:
                 F.lit(True).alias("asks"),
             )
         )
-        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config, self.vectorizer)
+        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config)
         # ids grow from batch to batch, so a feed that pages by them misses none
         order = global_order(once.select("job_id"), ["job_id"], "_place").select("job_id", "_place")
         stored = once.drop("cluster_id").join(clusters, "job_id").join(order, "job_id")
