@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..session import cut_lineage
 from .common import Batches, as_bytes, batch_of, fresh, mapped, texts, words_of
 from .components import components
+from .near import alike
 
 BITS, BLOCK = 64, 8
 SHINGLE, DISTANCE = 4, 4
@@ -357,16 +358,17 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline stage: of each group of near copies the row with the smallest
-    doc_id stays, all columns as they are.
+    """The pipeline stage: of each group of texts that links of five-word Jaccard
+    likeness 0.8 connect (``near``), the row with the smallest doc_id stays, all
+    columns as they are.
 
     Of rows that repeat that doc_id one stays, any of them. Rows with a null doc_id
     cannot be named by a group, so all of them stay. The texts are shuffled once, by
     doc_id, for the join and the choice among repeated ids alike.
     """
     mark, order = fresh(docs, "near_id"), fresh(docs, "near_order")
-    kept = near_copies(docs.filter(F.col("doc_id").isNotNull()))
-    kept = kept.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
+    found = alike(docs.filter(F.col("doc_id").isNotNull()))
+    kept = found.groupBy("component").agg(F.min("doc_id").alias(mark)).select(mark).distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     named = docs.join(kept, docs["doc_id"] == kept[mark]).withColumn(order, one).filter(F.col(order) == 1)
     unnamed = docs.filter(F.col("doc_id").isNull())
