@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_lineage, scratch_path
 from .common import Batches, Codes, as_bytes, batch_of, mapped, texts, words_of
 
-#: Discount of pair counts; pairs seen less often are left to the back-off weight,
-#: which keeps their mass. Training tokens for each part. Bits of a quantised value.
-DISCOUNT, LEAST_PAIR, PART_TOKENS, QUANTUM = 0.75, 2, 4_000_000, 65_535
+#: Discount of pair counts; pairs of any count are kept. Training tokens for each
+#: part. Bits of a quantised value.
+DISCOUNT, LEAST_PAIR, PART_TOKENS, QUANTUM = 0.75, 1, 4_000_000, 65_535
 #: Texts are counted and scored in runs of about so many tokens.
 RUN_TOKENS = 2_000_000
 END, BEGIN = b"", b" "  # neither is a word

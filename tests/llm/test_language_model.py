@@ -100,6 +100,15 @@ def test_probabilities_add_up_to_one():
         assert total == pytest.approx(1)
 
 
+def test_a_pair_seen_once_counts(documents):
+    given = ["a b c", "b d a", "c a d"]
+    plain = Plain(given, least=1)
+    rows = lm.score(documents([(1, "a b c"), (2, "a a a")]), lm.train(documents(list(enumerate(given))))).collect()
+    scores = {r["doc_id"]: r["score"] for r in rows}
+    assert scores == {i: pytest.approx(plain.score(t), abs=2e-3) for i, t in ((1, "a b c"), (2, "a a a"))}
+    assert plain.score("a b c") > Plain(given, least=2).score("a b c") + 0.1
+
+
 def test_nothing_to_learn_from(documents):
     model = lm.train(documents([]))
     row = lm.score(documents([(1, "a b")]), model).first()
