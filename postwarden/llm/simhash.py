@@ -362,14 +362,19 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     likeness 0.8 connect (``near``), the row with the smallest doc_id stays, all
     columns as they are.
 
-    Of rows that repeat that doc_id one stays, any of them. Rows with a null doc_id
-    cannot be named by a group, so all of them stay. The texts are shuffled once, by
-    doc_id, for the join and the choice among repeated ids alike.
+    Of unlike texts that repeat a doc_id each stands by itself; of alike ones that of
+    the smallest hash stays. Rows with a null doc_id cannot be named by a group, so all
+    of them stay. The texts are shuffled once, by doc_id and their hash, for the join
+    and the choice among repeated rows alike.
     """
-    mark, order = fresh(docs, "near_id"), fresh(docs, "near_order")
+    mark, order, own = fresh(docs, "near_id"), fresh(docs, "near_order"), fresh(docs, "near_text")
+    its = fresh(docs, "near_kept")
     found = alike(docs.filter(F.col("doc_id").isNotNull()))
-    kept = found.groupBy("component").agg(F.min("doc_id").alias(mark)).select(mark).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = docs.join(kept, docs["doc_id"] == kept[mark]).withColumn(order, one).filter(F.col(order) == 1)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias(mark), F.col("first.text").alias(its)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    one = F.row_number().over(Window.partitionBy("doc_id", own).orderBy("doc_id"))
+    same = (hashed["doc_id"] == kept[mark]) & (hashed[own] == kept[its])
+    named = hashed.join(kept, same).withColumn(order, one).filter(F.col(order) == 1)
     unnamed = docs.filter(F.col("doc_id").isNull())
     return named.select(*docs.columns).union(unnamed)

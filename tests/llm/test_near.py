@@ -78,3 +78,10 @@ def test_recall_of_the_bands():
         if both >= 0.8 * (len(a) + len(b) - both):
             met.append(any(x == y for x, y in zip(near.band_keys(a), near.band_keys(b))))
     assert all(met)
+
+
+def test_unlike_texts_of_one_id_both_count(spark, documents):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(2, b), (5, a), (5, b), (6, a), (7, "x y z"), (7, "p q r"), (7, "p q r")]
+    got = simhash.keep_first(spark, documents(rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(2, b), (5, a), (7, "p q r"), (7, "x y z")]
