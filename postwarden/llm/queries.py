@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import language_model, pii, quality, toxicity
+from . import dialogue, language_model, pii, quality, toxicity
+from .alignment import align_corpus
+from .best_fit import best_fit
 from .bpe import decode_ids, encode_texts
 from .common import remainder, table, texts
 from .embeddings import near_vectors
@@ -95,6 +97,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_corpus(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, repaired = dialogue.repair(table(spark, sf_dir, "conversations"))
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(" "))
+    hashed = report.withColumn("conv", conv).join(dialogue.digests(repaired), "conv", "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return hashed.select(*report.columns, F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embeddings": op2_embeddings,
@@ -106,6 +127,9 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
+    "op12_conversations": op12_conversations,
+    "op13_best_fit": op13_best_fit,
     "pipeline": corpus_pipeline.run,
 }
 
