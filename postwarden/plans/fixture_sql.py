@@ -120,9 +120,9 @@ FROM (SELECT *, CASE WHEN event_type = 'error' THEN confidence ELSE 1 - confiden
     "pressure": """
 SELECT *, ln(count_24h + 1) AS pressure_score FROM (
   SELECT cluster_id,
-    count(*) FILTER (WHERE created_at > as_of - INTERVAL 1 HOUR) AS count_1h,
-    count(*) FILTER (WHERE created_at > as_of - INTERVAL 6 HOUR) AS count_6h,
-    count(*) FILTER (WHERE created_at > as_of - INTERVAL 24 HOUR) AS count_24h
+    count(*) FILTER (WHERE created_at > as_of - INTERVAL 1 HOUR AND created_at <= as_of) AS count_1h,
+    count(*) FILTER (WHERE created_at > as_of - INTERVAL 6 HOUR AND created_at <= as_of) AS count_6h,
+    count(*) FILTER (WHERE created_at > as_of - INTERVAL 24 HOUR AND created_at <= as_of) AS count_24h
   FROM members, clock GROUP BY cluster_id)""",
     "corrected": f"""
 SELECT *, replace(new_reason, chr(10), ' ') AS flat FROM (
@@ -189,17 +189,17 @@ SELECT batch_id, min(started_at) AS batch_started_at, max(completed_at) AS batch
 FROM batch_rows GROUP BY batch_id""",
     "metrics": """
 SELECT *, jobs_inserted / greatest(0.001, spent) AS throughput_jobs_per_sec, spent * 1000 AS spark_batch_time_ms,
-  batch_id * 7 AS kafka_lag, CAST(batch_id % 13 AS INTEGER) AS queue_backlog, batch_completed_at AS created_at
+  batch_id * 7 AS kafka_lag, CAST(batch_id % 13 AS INTEGER) AS queue_backlog, batch_completed_at - INTERVAL 1 SECOND AS created_at
 FROM batches""",
     "dashboard": """
 SELECT count(*) AS total_jobs, count(*) FILTER (WHERE prediction = 1) AS fake_jobs,
   count(*) - count(*) FILTER (WHERE prediction = 1) AS real_jobs,
   round(count(*) FILTER (WHERE prediction = 1) / count(*) * 100, 2) AS fake_percentage,
-  round(count(*) FILTER (WHERE created_at >= as_of - INTERVAL 1 MINUTE) / 60, 2) AS throughput,
+  round(count(*) FILTER (WHERE created_at BETWEEN as_of - INTERVAL 1 MINUTE AND as_of) / 60, 2) AS throughput,
   avg(confidence) AS avg_confidence, max(created_at) AS last_processed_at,
   (epoch_us(any_value(as_of)) - epoch_us(max(created_at))) / 1000.0::DOUBLE AS processing_latency_ms,
   count(*) FILTER (WHERE is_corrected) AS corrected_jobs,
-  (SELECT count(*) FROM (SELECT cluster_id FROM members, clock WHERE created_at >= as_of - INTERVAL 24 HOUR
+  (SELECT count(*) FROM (SELECT cluster_id FROM members, clock WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of
     GROUP BY cluster_id HAVING ln(count(*) + 1) > 1)) AS high_pressure_clusters
 FROM versions, clock""",
     "system": """
@@ -213,9 +213,9 @@ FROM (SELECT coalesce(avg(throughput_jobs_per_sec), 0) AS throughput_jobs_per_se
     coalesce(avg(kafka_lag), 0) AS kafka_lag, coalesce(avg(spark_batch_time_ms), 0) AS spark_batch_time_ms,
     coalesce(avg(db_insert_time_ms), 0) AS db_insert_time_ms, coalesce(max(queue_backlog), 0) AS queue_backlog,
     count(*) AS samples
-  FROM metrics, clock WHERE created_at >= as_of - INTERVAL 120 MINUTE) b,
+  FROM metrics, clock WHERE created_at BETWEEN as_of - INTERVAL 120 MINUTE AND as_of) b,
   (SELECT count(*) AS n, count(*) FILTER (WHERE prediction = 1) AS fraud, count(*) FILTER (WHERE is_anomaly) AS anomaly
-   FROM predictions, clock WHERE created_at >= as_of - INTERVAL 120 MINUTE) p""",
+   FROM predictions, clock WHERE created_at BETWEEN as_of - INTERVAL 120 MINUTE AND as_of) p""",
     "spine": """
 SELECT unnest(generate_series(date_trunc('hour', as_of - INTERVAL 24 HOUR), date_trunc('hour', as_of), INTERVAL 1 HOUR))
   AS bucket_start FROM clock""",
@@ -225,22 +225,22 @@ SELECT strftime(s.bucket_start, '%H:%M') AS "timestamp", s.bucket_start, coalesc
   round(coalesce(n, 0) / 3600, 3) AS throughput
 FROM spine s LEFT JOIN (
   SELECT date_trunc('hour', created_at) AS b, count(*) AS n, count(*) FILTER (WHERE prediction = 1) AS f
-  FROM predictions, clock WHERE created_at >= as_of - INTERVAL 24 HOUR GROUP BY 1) a ON a.b = s.bucket_start""",
+  FROM predictions, clock WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of GROUP BY 1) a ON a.b = s.bucket_start""",
     "spikes": """
 SELECT strftime(s.bucket_start, '%H:%M') AS "timestamp", s.bucket_start, coalesce(c.n, 0) AS cluster_jobs,
   coalesce(r.n, 0) AS corrections
 FROM spine s
 LEFT JOIN (SELECT date_trunc('hour', created_at) AS b, count(*) AS n FROM members, clock
-  WHERE created_at >= as_of - INTERVAL 24 HOUR GROUP BY 1) c ON c.b = s.bucket_start
+  WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of GROUP BY 1) c ON c.b = s.bucket_start
 LEFT JOIN (SELECT date_trunc('hour', updated_at) AS b, count(*) AS n FROM history, clock
-  WHERE updated_at >= as_of - INTERVAL 24 HOUR GROUP BY 1) r ON r.b = s.bucket_start""",
+  WHERE updated_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of GROUP BY 1) r ON r.b = s.bucket_start""",
     "top": """
-SELECT m.cluster_id, count(*) FILTER (WHERE m.created_at >= as_of - INTERVAL 1 HOUR) AS jobs_1h,
-  count(*) FILTER (WHERE m.created_at >= as_of - INTERVAL 6 HOUR) AS jobs_6h, count(*) AS jobs_24h,
+SELECT m.cluster_id, count(*) FILTER (WHERE m.created_at BETWEEN as_of - INTERVAL 1 HOUR AND as_of) AS jobs_1h,
+  count(*) FILTER (WHERE m.created_at BETWEEN as_of - INTERVAL 6 HOUR AND as_of) AS jobs_6h, count(*) AS jobs_24h,
   ln(count(*) + 1) AS pressure_score, count(*) FILTER (WHERE v.is_corrected) AS corrected_jobs,
   coalesce(max(v.updated_score), 0) AS peak_score
 FROM clock, members m LEFT JOIN versions v ON v.job_id = m.job_id
-WHERE m.created_at >= as_of - INTERVAL 24 HOUR GROUP BY m.cluster_id
+WHERE m.created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of GROUP BY m.cluster_id
 ORDER BY pressure_score DESC, corrected_jobs DESC, jobs_24h DESC, m.cluster_id LIMIT 8""",
     "alert_rows": f"""
 SELECT {alert_columns('least(1, greatest(0, coalesce(risk_score, updated_score, confidence, 0)))', 'Fraud escalation detected')}

@@ -208,7 +208,7 @@ oracle("pressure_at_insert", "SELECT m.job_id, timeline.* FROM members m JOIN ti
        "pressure_score")
 oracle("high_pressure_clusters", """
 SELECT count(*) AS high_pressure_clusters FROM (SELECT cluster_id FROM members, clock
-  WHERE created_at >= as_of - INTERVAL 24 HOUR GROUP BY cluster_id HAVING ln(count(*) + 1) > 1)""")
+  WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of GROUP BY cluster_id HAVING ln(count(*) + 1) > 1)""")
 oracle("apply_corrections", """
 SELECT job_id, CASE WHEN pressure_score > 2 THEN 1 ELSE prediction END AS prediction,
   CASE WHEN correction_type = 'UPGRADE_TO_FRAUD' THEN 'UPDATED FRAUD DETECTION: ' ELSE 'UPDATED RISK ESCALATION: ' END
@@ -234,14 +234,14 @@ oracle("top_clusters", "SELECT * FROM top", "pressure_score peak_score")
 oracle("system_metrics", "SELECT * FROM system",
        "throughput_jobs_per_sec avg_latency_ms error_rate fraud_rate anomaly_rate spark_batch_time_ms db_insert_time_ms")
 oracle("recent_activity", """
-SELECT count(*) AS recent_jobs FROM predictions, clock WHERE created_at >= as_of - INTERVAL 60 MINUTE""")
+SELECT count(*) AS recent_jobs FROM predictions, clock WHERE created_at BETWEEN as_of - INTERVAL 60 MINUTE AND as_of""")
 oracle("stats", """
 SELECT total_jobs, fake_jobs, real_jobs, fake_percentage, corrected_jobs, high_pressure_clusters, error_rate, fraud_rate, anomaly_rate
 FROM dashboard, (SELECT coalesce(avg(error_rate), 0) AS error_rate FROM metrics, clock
-    WHERE created_at >= as_of - INTERVAL 5 MINUTE),
+    WHERE created_at BETWEEN as_of - INTERVAL 5 MINUTE AND as_of),
   (SELECT count(*) FILTER (WHERE prediction = 1) / count(*) AS fraud_rate,
     count(*) FILTER (WHERE is_anomaly) / count(*) AS anomaly_rate
-   FROM versions, clock WHERE created_at >= as_of - INTERVAL 5 MINUTE)""",
+   FROM versions, clock WHERE created_at BETWEEN as_of - INTERVAL 5 MINUTE AND as_of)""",
        "fake_percentage error_rate fraud_rate anomaly_rate")
 oracle("stream_lag", "SELECT CAST(sum(greatest(0, end_offset - next_offset)) AS BIGINT) AS lag FROM ends")
 oracle("group_lag", """
@@ -287,7 +287,7 @@ oracle("correction_event_summary", f"""
 SELECT cluster_id, count(*) AS "count", max(updated_at) AS latest_at FROM {_NEWEST} GROUP BY 1 HAVING count(*) >= 3""")
 oracle("peak_throughput", """
 SELECT greatest((SELECT max(throughput) FROM trends),
-  (SELECT round(count(*) FILTER (WHERE created_at >= as_of - INTERVAL 1 MINUTE) / 60, 2) FROM predictions, clock)) AS peak_throughput""",
+  (SELECT round(count(*) FILTER (WHERE created_at BETWEEN as_of - INTERVAL 1 MINUTE AND as_of) / 60, 2) FROM predictions, clock)) AS peak_throughput""",
        "peak_throughput")
 
 oracle("metric_delta", """
