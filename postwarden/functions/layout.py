@@ -81,6 +81,25 @@ def sliced_running_sum(
     )
 
 
+def sliced_last(
+    df: DataFrame, key: str, order: Sequence[Column | str], value: str, name: str, slice_rows: int = DEFAULT.slice_rows
+) -> DataFrame:
+    """Add ``name``, the last ``value`` that is not null before each row of a key.
+
+    The order must end in something unique. As for sums, slices of the global order are
+    searched apart and take over what the slices before them hold last.
+    """
+    placed = global_order(df, [key, *order], "_place").drop("_part")
+    cut = placed.withColumn("_slice", F.floor(F.col("_place") / F.lit(slice_rows)))
+    within = Window.partitionBy(key, "_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_place")))
+    carried = cut.groupBy(key, "_slice").agg(newest.alias("_newest"))
+    carried = carried.select(key, "_slice", F.last("_newest", ignorenulls=True).over(earlier).alias("_newest"))
+    found = cut.withColumn(name, F.last(value, ignorenulls=True).over(within)).join(carried, [key, "_slice"])
+    return found.withColumn(name, F.coalesce(name, "_newest")).drop("_newest", "_slice", "_place")
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
