@@ -31,7 +31,7 @@ from .word_ids import word_ids
 VOCABULARY, END, LENGTH = "word_bpe_49k.json", 1, 4096
 _PIECE = "row long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 #: Ids that a task holds before it hands on its pieces.
-_HELD = 4 << 20
+_HELD = 1 << 20
 
 
 # --- pieces -------------------------------------------------------------------------
@@ -53,12 +53,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH)
         for batch in batches:
             out, held = [], 0
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text"))):
-                ids = np.append(ids, END).astype("<u4")
+                ids = np.append(ids, np.array([END], ids.dtype))
                 for piece, start in enumerate(range(0, len(ids), length)):
-                    part = ids[start : start + length]
-                    raw = part.tobytes()
-                    out.append((row, doc_id, piece, start, len(part), raw, zlib.crc32(raw)))
-                    row, held = row + 1, held + len(part)
+                    raw = ids[start : start + length].astype("<u4").tobytes()
+                    out.append((row, doc_id, piece, start, len(raw) // 4, raw, zlib.crc32(raw)))
+                    row, held = row + 1, held + len(raw) // 4
                     if held >= _HELD:
                         yield batch_of([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                         out, held = [], 0

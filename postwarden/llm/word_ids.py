@@ -9,6 +9,7 @@ the ids of the texts together.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of words and ids that a worker keeps, and of texts whose words it holds at once.
-HELD, RUN_BYTES = 256 << 20, 32 << 20
+HELD, RUN_BYTES = 192 << 20, 6 << 20
 #: Words given to the tokenizer as one text.
 JOINED = 2000
 #: Letters whose lower and composed forms are letters again.
@@ -84,7 +85,7 @@ class WordIds:
         self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.number.update(zip(words, range(first, first + len(words))))
         self.used += len(ids)
-        self.held += 150 * len(words) + sum(map(len, words)) + 4 * len(ids)
+        self.held += 220 * len(words) + sum(map(len, words)) + 4 * len(ids)
 
     def _encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -152,17 +153,16 @@ class WordIds:
         sizes = np.bincount(owner, self.sizes[numbers], len(column)).astype(np.int64)
         return self.flat[self._places(numbers)], sizes
 
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a string column; nulls are empty."""
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        ends = np.cumsum(np.asarray(pc.binary_length(column)), dtype=np.int64)
-        out: list[np.ndarray] = []
-        while len(out) < len(column):
-            at = len(out)
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column, some texts at a time; nulls are empty."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(column):
             stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, "right"))
-            ids, sizes = self._run(column.slice(at, max(stop - at, 1)))
-            out += np.split(ids, np.cumsum(sizes)[:-1])
-        return out
+            some = column.slice(at, max(stop - at, 1))
+            ids, counts = self._run(pc.fill_null(some.cast(pa.large_string()), ""))
+            at += len(some)
+            yield from np.split(ids, np.cumsum(counts)[:-1])
 
 
 @lru_cache(maxsize=2)
