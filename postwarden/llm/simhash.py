@@ -28,11 +28,11 @@ from .common import Batches, as_bytes, batch_of, fresh, mapped, texts, words_of
 from .components import components
 from .near import alike
 
-BITS, BLOCK = 64, 8
+BITS, BLOCK = 64, 2
 SHINGLE, DISTANCE = 4, 4
-#: Rows that one group of a cell holds at most, on average; larger cells are cut
-#: into groups by pairs of slices, which together compare all that the cell compares.
-CELL_ROWS = 4096
+#: Rows that a cell may hold; larger ones are split by a pigeonhole on the bits that are
+#: left, until so few are left that a cell cannot hold more distinct fingerprints.
+CELL_ROWS, LEFT_BITS = 4096, 12
 #: What comparing a candidate costs in a vector loop against shuffling one probe.
 CANDIDATE = 0.05
 #: Shingles hashed at once, so that a very long text takes bounded memory.
@@ -102,7 +102,7 @@ def _counted(df: DataFrame, function, cells: int) -> np.ndarray:
 
 
 def group_bits(both: np.ndarray, n: int) -> list[list[int]]:
-    """Blocks of eight bits, each begun with the bit most correlated to the rest
+    """Blocks of ``BLOCK`` bits, each begun with the bit most correlated to the rest
     and filled with the bits most correlated to the block."""
     share = np.diag(both) / n
     deviation = np.sqrt(np.maximum(share * (1 - share), 1e-12))
@@ -145,15 +145,15 @@ def pair_distances(histogram: np.ndarray) -> np.ndarray:
     The Walsh-Hadamard transform of the squared spectrum counts the pairs for every
     difference pattern at once.
     """
-    spectrum = histogram.astype(float)
-    for step in (1 << i for i in range(BLOCK)):
+    spectrum, width = histogram.astype(float), len(histogram).bit_length() - 1
+    for step in (1 << i for i in range(width)):
         pairs = spectrum.reshape(-1, 2, step)
         spectrum = np.stack((pairs[:, 0] + pairs[:, 1], pairs[:, 0] - pairs[:, 1]), 1).ravel()
     squared = spectrum**2
-    for step in (1 << i for i in range(BLOCK)):
+    for step in (1 << i for i in range(width)):
         pairs = squared.reshape(-1, 2, step)
         squared = np.stack((pairs[:, 0] + pairs[:, 1], pairs[:, 0] - pairs[:, 1]), 1).ravel()
-    counts = np.bincount(np.bitwise_count(np.arange(1 << BLOCK)), weights=squared, minlength=BLOCK + 1)
+    counts = np.bincount(np.bitwise_count(np.arange(1 << width)), weights=squared, minlength=width + 1)
     return counts / max(counts.sum(), 1)
 
 
@@ -193,7 +193,7 @@ def plan_parts(blocks: list[list[int]], histograms: np.ndarray, n: int, distance
             apart = np.ones(1)
             for block in run:
                 apart = np.convolve(apart, inside[block])
-            width = BLOCK * len(run)
+            width = sum(len(blocks[block]) for block in run)
             costs.append(
                 [0.0]
                 + [
@@ -281,8 +281,6 @@ def verify_groups(group: np.ndarray, bits: np.ndarray, own: np.ndarray, distance
 
 
 def _verify(distance: int):
-    names = ("part", "cell", "low", "high")
-
     def run(batches: Batches) -> Batches:
         held: list[np.ndarray] | None = None
 
@@ -294,35 +292,66 @@ def _verify(distance: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy() for c in names]
-            now += [batch.column("bits").to_numpy().view(np.uint64), batch.column("own").to_numpy(zero_copy_only=False)]
+            now = [batch.column("cell").to_numpy(), batch.column("bits").to_numpy().view(np.uint64)]
+            now.append(batch.column("own").to_numpy(zero_copy_only=False))
             if held is not None:
                 now = [np.concatenate(pair) for pair in zip(held, now)]
-            change = np.zeros(len(now[0]), bool)
-            for column in now[:4]:
-                change[1:] |= column[1:] != column[:-1]
-            key = np.cumsum(change)
+            key = np.cumsum(np.concatenate(([False], now[0][1:] != now[0][:-1])))
             last = int(np.searchsorted(key, key[-1]))
-            yield from result(key[:last], now[4][:last], now[5][:last])
+            yield from result(key[:last], now[1][:last], now[2][:last])
             held = [column[last:] for column in now]
         if held is not None:
-            yield from result(np.zeros(len(held[0]), np.int64), held[4], held[5])
+            yield from result(np.zeros(len(held[0]), np.int64), held[1], held[2])
 
     return run
 
 
+def _split(groups: int):
+    """Each row into ``groups`` smaller cells by the bits that its cell does not fix."""
+
+    def emit(batches: Batches) -> Batches:
+        for batch in batches:
+            bits, cell = batch.column("bits").to_numpy().view(np.uint64), batch.column("cell").to_numpy()
+            fixed, own = batch.column("fixed").to_numpy().view(np.uint64), batch.column("own").to_numpy(zero_copy_only=False)
+            for mask in np.unique(fixed):
+                rows = fixed == mask
+                free = [b for b in range(BITS) if not int(mask) >> b & 1]
+                for run in np.array_split(free, groups):
+                    chosen = np.uint64(sum(1 << int(b) for b in run))
+                    n = int(rows.sum())
+                    values = (bits[rows] & chosen).view(np.int64)
+                    both = np.full(n, mask | chosen, np.uint64).view(np.int64)
+                    columns = [cell[rows], both, values, bits[rows].view(np.int64), own[rows]]
+                    yield batch_of([pa.array(c) for c in columns], ["cell", "fixed", "value", "bits", "own"])
+
+    return emit
+
+
 def _links(distinct: DataFrame, parts: list[Part], distance: int, cell_rows: int) -> DataFrame:
+    """Links from all cells. Fingerprints of a cell that differ in at most ``distance``
+    bits agree in one of ``distance + 1`` groups of the bits that are left, so a large
+    cell is split into cells of those groups: a fixed number of rows for each row,
+    whatever the size of the cell."""
     probes = mapped(distinct, _probes(parts), "part int, cell long, bits long, own boolean")
-    large = probes.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
-    large = large.select("part", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("slices"))
-    placed = probes.join(large, ["part", "cell"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("bits"), F.col("slices")).cast("int")
-    placed = placed.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    placed = placed.select(
-        "part", "cell", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "bits", "own"
+    fixed = F.element_at(
+        F.array([F.lit(int(np.uint64(sum(1 << b for b in p.bits)).view(np.int64))) for p in parts]), F.col("part") + 1
     )
-    keys = ["part", "cell", "low", "high"]
-    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, F.desc("own"))
+    # a hash of two cells alike puts them together, which costs time and no link
+    rows = probes.select(F.xxhash64("part", "cell").alias("cell"), fixed.alias("fixed"), "bits", "own")
+    small = None
+    while True:
+        counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.bit_count("fixed")).alias("set"))
+        large = counts.filter((F.col("n") > cell_rows) & (BITS - F.col("set") > LEFT_BITS)).select("cell")
+        large = cut_lineage(large)
+        done = large.isEmpty()
+        kept = rows if done else rows.join(large, "cell", "left_anti")
+        kept = kept.select("cell", "bits", "own")
+        small = kept if small is None else small.unionByName(kept)
+        if done:
+            break
+        finer = mapped(rows.join(large, "cell"), _split(distance + 1), "cell long, fixed long, value long, bits long, own boolean")
+        rows = cut_lineage(finer.select(F.xxhash64("cell", "fixed", "value").alias("cell"), "fixed", "bits", "own"))
+    dealt = small.repartition("cell").sortWithinPartitions("cell", F.desc("own"))
     return mapped(dealt, _verify(distance), "a long, b long").distinct()
 
 
