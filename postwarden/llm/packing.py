@@ -12,134 +12,56 @@ a task is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
 from ..session import scratch_path
-from .common import Batches, as_bytes, batch_of, mapped, texts, words_of
+from .common import Batches, batch_of, mapped, texts
+from .word_ids import word_ids
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 LENGTH = 4096
 #: Ids of a task and of a shard; query terms of a seed; the usual BM25 constants.
 TASK_IDS, SHARD_IDS, TERMS, K1, B = 8_000_000, 2_000_000, 12, 1.2, 0.75
-#: Bytes of words and ids that a worker keeps, and of texts whose words it holds at once.
-HELD, RUN_BYTES = 300 << 20, 2 << 20
-#: Letters whose lower and composed forms are letters again.
-_letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
 
 # --- ids ----------------------------------------------------------------------------
 
 
-def lowered(text: bytes) -> bytes:
-    """A-Z lowered, as the tokenizer does later, so that fewer words are distinct. It
-    composes marks with letters first, and some marks compose with small letters only;
-    texts with bytes that begin such marks stay as they are."""
-    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
-
-
-class Words(dict):
-    """The ids of words as bytes, each found once by the tokenizer.
-
-    The tokenizer drops white space and never joins what white space parts, so the
-    ids of a text are those of its words in order.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.ends[number] = token.endswith("</w>")
-        self.held = 0
-
-    def encode_all(self, words: list[str]) -> list[np.ndarray]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.kind) for e in encoded]
-
-    def encode_letters(self, words: list[str]) -> list[np.ndarray]:
-        """Words of letters alone are one match each, and the last id of a match ends it."""
-        found = []
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            # a letter whose lower case is no letter makes more matches than words
-            found += np.split(ids, cuts[:-1]) if len(cuts) == len(some) else self.encode_all(some)
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add words that are not known."""
-        letters, mixed, ended = {}, {}, []
-        for word in words:
-            text = word.decode()
-            if _letters(text):
-                letters[text] = word
-            elif text[-1] in ",." and _letters(text, 0, len(text) - 1):
-                ended.append((word, text[:-1]))
-                letters[text[:-1]] = word[:-1]
-            else:
-                mixed[text] = word
-        for group, encode in ((letters, self.encode_letters), (mixed, self.encode_all)):
-            new = [t for t, w in group.items() if w not in self]
-            for text, ids in zip(new, encode(new) if new else ()):
-                self._keep(group[text], ids.tobytes())
-        if ended:
-            mark = {c: ids.tobytes() for c, ids in zip(",.", self.encode_all([",", "."]))}
-            for word, core in ended:
-                self._keep(word, self[word[:-1]] + mark[word[-1:].decode()])
-
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        self[word] = ids
-        self.held += 170 + len(word) + len(ids)
-
-    def encode(self, contents: list[bytes]) -> list[bytes]:
-        """Ids of each text and the end id, as bytes of ``kind``."""
-        end, out = np.array([END], self.kind).tobytes(), []
-        at = 0
-        while at < len(contents):
-            some, size = [], 0
-            while at < len(contents) and (not some or size < RUN_BYTES):
-                some.append(words_of(lowered(contents[at])))
-                size += len(contents[at])
-                at += 1
-            every = set().union(*some)
-            missing = every.difference(self)
-            if missing and self.held > HELD:
-                self.clear()
-                self.held, missing = 0, every
-            self.learn(missing)
-            out += [b"".join(map(self.__getitem__, words)) + end for words in some]
-        return out
-
-
-@lru_cache(maxsize=2)
-def words_with(path: str) -> Words:
-    return Words(path)
-
-
-def pair_minimum(ids: np.ndarray) -> int:
-    """The smallest hash of two neighbouring ids, as a signed long."""
-    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
-    if not len(pairs):
-        return -1
-    mixed = pairs * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _MIX
-    return int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64))
+def pair_minima(texts: list[np.ndarray]) -> np.ndarray:
+    """The smallest hash of two neighbouring ids of each text, as signed longs; -1 for a
+    text of one id. All texts are hashed at once."""
+    sizes = np.array([len(ids) for ids in texts])
+    flat = np.concatenate(texts).astype(np.uint64)
+    pairs = flat[:-1] << np.uint64(32) | flat[1:]
+    pairs *= _MIX
+    pairs ^= pairs >> np.uint64(29)
+    pairs *= _MIX
+    pairs ^= pairs >> np.uint64(32)
+    # the last id of a text has no neighbour, and all its pair could be is the largest hash
+    mixed = np.append(pairs, _NONE)
+    ends = np.cumsum(sizes)
+    mixed[ends - 1] = _NONE
+    return np.minimum.reduceat(mixed, ends - sizes).view(np.int64)
+
+
+def _grouped(given: Iterator[np.ndarray], size: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    """Neighbouring texts of about ``size`` ids together."""
+    some, held = [], 0
+    for own in given:
+        some.append(own)
+        held += len(own)
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -151,12 +73,17 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Batches) -> Batches:
-        words = words_with(path)
+        words = word_ids(path)
+        end = np.array([END], words.kind)
         for batch in batches:
-            ids = words.encode(as_bytes(batch.column("text")))
-            near = [pair_minimum(np.frombuffer(i, words.kind)) for i in ids]
-            columns = [batch.column("doc_id"), pa.array(near, pa.int64()), pa.array(ids, pa.binary())]
-            yield batch_of(columns, ["doc_id", "near", "ids"])
+            near, ids = [], []
+            for some in _grouped(words.encode(batch.column("text"))):
+                some = [np.append(own, end) for own in some]
+                near.append(pair_minima(some))
+                ids += [own.tobytes() for own in some]
+            if ids:
+                columns = [batch.column("doc_id"), pa.array(np.concatenate(near)), pa.array(ids, pa.binary())]
+                yield batch_of(columns, ["doc_id", "near", "ids"])
 
     return mapped(texts(docs), run, "doc_id long, near long, ids binary")
 
@@ -321,8 +248,8 @@ def pack(docs: DataFrame, path: str | None = None, task_ids: int = TASK_IDS) ->
     their pieces do not tell apart; null ids stay null. An empty table gives none.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    words = words_with(path)
-    kind, size = words.kind, len(words.ends)
+    words = word_ids(path)
+    kind, size = words.kind, words.size
     spark = docs.sparkSession
     place = f"{scratch_path(spark)}-ids"
     coded = token_ids(docs, path)

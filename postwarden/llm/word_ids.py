@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of words and ids that a worker keeps, and of texts whose words it holds at once.
-HELD, RUN_BYTES = 192 << 20, 6 << 20
+HELD, RUN_BYTES = 256 << 20, 8 << 20
 #: Words given to the tokenizer as one text.
 JOINED = 2000
 #: Letters whose lower and composed forms are letters again.
@@ -85,7 +85,7 @@ class WordIds:
         self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.number.update(zip(words, range(first, first + len(words))))
         self.used += len(ids)
-        self.held += 220 * len(words) + sum(map(len, words)) + 4 * len(ids)
+        self.held += 190 * len(words) + sum(map(len, words)) + 4 * len(ids)
 
     def _encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]

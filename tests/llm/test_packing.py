@@ -20,32 +20,13 @@ PATH = public_tokenizers.path(packing.VOCABULARY)
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
-def test_words_give_the_ids_of_the_text(tokenizer):
-    rng, words = random.Random(7), packing.Words(PATH)
-    alphabet = list("  \n\t\x0b\x1c\x85\xa0　ab'STéÉİſǅΣ漢字١²½🙂!?-.,;") + ["'re", "'s", "é", "́", "<|endoftext|>", "w. ", "w, ", "J\u030c", "H\u0331", "\u0130."]
-    given = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)] + ["", "x" * 5000, "a. " * 1000]
-    for text, ids in zip(given, words.encode([t.encode() for t in given])):
-        assert np.frombuffer(ids, words.kind).tolist() == ids_of(tokenizer, text), repr(text)
-
-
-def test_an_emptied_store_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "HELD", 500)
-    words = packing.Words(PATH)
-    for i in range(20):
-        given = [f"word{i} Other, word{i % 3}. last" for _ in range(3)]
-        for text, ids in zip(given, words.encode([t.encode() for t in given])):
-            assert np.frombuffer(ids, words.kind).tolist() == ids_of(tokenizer, text)
-
-
 def check(rows, want):
     """rows: pieces with ids or their crc; want: {doc_id: ids}"""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -79,6 +60,13 @@ def test_query(spark, tokenizer):
     assert check(rows, {i: ids_of(tokenizer, t) for i, t in given.items()}) == 0
 
 
+def test_special_tokens_are_found(documents, tokenizer):
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|EndOfText|> A"]
+    rows = packing.token_ids(documents(list(enumerate(texts)))).collect()
+    kind = packing.word_ids(PATH).kind
+    assert {r["doc_id"]: np.frombuffer(r["ids"], kind).tolist() for r in rows} == {i: ids_of(tokenizer, t) for i, t in enumerate(texts)}
+
+
 def test_many_shards_and_tasks(spark, documents, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_IDS", 9000)
     rng = random.Random(8)
