@@ -27,6 +27,8 @@ LEAST_TEXTS, DEPARTURE = 4, 4.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS, RATE, SHRINK, COUNTERFACTUAL = 200, 0.05, 1e-5, 1.0
 REJECT = 0.7
+#: The bias where no labelled text is found.
+NOTHING = -20.0
 #: Words whose weights or features a worker keeps.
 HELD = 100_000
 
@@ -188,11 +190,13 @@ def fit(
     given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows short rows
     sample = texts(docs).join(F.broadcast(given), "doc_id").select("text", "toxic")
-    rows, positive = given.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    # labels without a text teach nothing, so the labelled texts are counted
+    rows, positive = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     positive = int(positive or 0)
-    share = positive / rows if rows else 0.0
     if positive in (0, rows):
-        return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+        # one kind alone says nothing against a text, so the odds are even at most
+        return Model({}, float(min(np.log((positive + 1) / (rows - positive + 1)), 0.0)) if rows else NOTHING)
+    share = positive / rows
     found = mapped(sample, _count, "feature long, n long, toxic long").groupBy("feature")
     found = found.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= LEAST_TEXTS)
     away = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
