@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 from test_packing import check, ids_of, tokenizer  # noqa: F401
 from test_pii import brute as brute_entities
-from test_simhash import brute_components, brute_fingerprint
 from test_substrings import brute as brute_passages
 
 import corpus_pipeline
@@ -45,10 +45,34 @@ def test_toxicity(spark, written):
     assert set(by_id(written[1][1])) == kept and 0 < len(written[0][1]) - len(kept) < 200
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_simhash(written):
+    """One document stays of each group that links of five-word likeness 0.8 connect."""
     rows = sorted(by_id(written[1][1]).items())
-    roots = brute_components([brute_fingerprint(r["text"]) for _, r in rows])
-    assert by_id(written[2][1]) == {i: r for k, (i, r) in enumerate(rows) if roots[k] == k}
+    sets = [shingles(r["text"]) for _, r in rows]
+    holders = {}
+    for k, own in enumerate(sets):
+        for g in own or {()}:
+            holders.setdefault(g, []).append(k)
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, own in enumerate(sets):
+        met = Counter(j for g in own or {()} for j in holders[g] if j < k)
+        for j, shared in met.items():
+            if shared * 5 >= 4 * (len(own or {()}) + len(sets[j] or {()}) - shared):
+                a, b = sorted((top(j), top(k)))
+                root[b] = a
+    assert by_id(written[2][1]) == {i: r for k, (i, r) in enumerate(rows) if top(k) == k}
+    assert len(written[2][1]) < len(rows)
 
 
 def test_substrings(written):

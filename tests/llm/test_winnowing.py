@@ -85,6 +85,13 @@ def test_query(spark):
     by_text = {}
     for doc_id, text in given:
         assert by_text.setdefault(text, rows[doc_id]["fingerprint"]) == rows[doc_id]["fingerprint"]
+    edits = [(t, t[: len(t) - len(t) // 4] + after[: len(t) // 4], after) for (_, t), (_, after) in zip(given, given[1:] + given[:1])]
+    grams = {tuple(w[i : i + 5]) for three in edits for w in map(words, three) for i in range(max(1, len(w) - 4)) if w}
+    hashed = gram_hashes(spark, grams)
+    marks = lambda text: {m >> winnowing.PLACE for m in brute(hashed, text)[0]}
+    for (doc_id, _), (text, after, other) in zip(given, edits):
+        own, row = marks(text), rows[doc_id]
+        for name, its in (("near_edited", marks(after)), ("near_next", marks(other))):
+            assert abs(row[name] - (len(own & its) / len(own | its) if own | its else 1.0)) < 1e-9
     long = [rows[i] for i, t in given if len(words(t)) > 100]
-    assert all(r["near_edited"] > 0.3 for r in long)
     assert sum(r["near_edited"] for r in long) / len(long) > 0.5 > 0.1 > sum(r["near_next"] for r in long) / len(long)
