@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import TEXT_COLUMNS
+from ..config import DEFAULT, TEXT_COLUMNS
+from ..functions.layout import sliced_running_sum
 from ..functions.scalars import col, or_blank, parse_time, strip
 
 # bound on the share of values left in the bracket around a median
@@ -29,11 +30,15 @@ def fill_missing_text(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> D
     return df.fillna("", subset=present) if present else df
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], slice_rows: int = DEFAULT.slice_rows
+) -> DataFrame:
     """One row (name, median) per column, exact at any size.
 
     A quantile sketch brackets the middle ranks; only values inside the bracket
-    (a fixed small share) are then counted and ranked, all others just counted.
+    (a fixed small share) are then counted and ranked, all others just counted. The
+    distinct values of a bracket are ranked in slices of their order, so a column
+    without repeated values is spread like any other.
     """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -51,8 +56,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     inside = ~below & (F.col("value") <= F.col("q")[1])
     offsets = placed.groupBy("name", "n").agg(F.sum(F.when(below, 1).otherwise(0)).alias("below"))
     counts = placed.filter(inside).groupBy("name", "value").agg(F.count(F.lit(1)).alias("times"))
-    upto = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(F.broadcast(offsets), "name").withColumn("last", F.col("below") + F.sum("times").over(upto))
+    summed = sliced_running_sum(counts.withColumn("upto", F.col("times")), "name", "value", ["upto"], slice_rows)
+    ranked = summed.join(F.broadcast(offsets), "name").withColumn("last", F.col("below") + F.col("upto"))
     first = F.col("last") - F.col("times")
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     holds = lambda rank: (first <= rank) & (rank < F.col("last"))

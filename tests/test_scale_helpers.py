@@ -177,3 +177,14 @@ def test_long_chain_resolves(spark):
     links = spark.range(300).selectExpr("cast(id + 1 AS string) AS job_id", "cast(id AS string) AS parent_id")
     roots = similarity.resolve_roots(links, HOT)
     assert roots.count() == 300 and roots.filter("root_id <> '0'").count() == 0
+
+
+def test_medians_of_a_million_distinct_values_in_slices(spark):
+    from postwarden.operators.features import exact_medians
+
+    df = spark.range(1_000_001).select(
+        ((F.col("id") * 7919) % 1_000_003).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") / 3).alias("b")
+    )
+    got = {r["name"]: r["median"] for r in exact_medians(df, ["a", "b"], slice_rows=50).collect()}
+    want = {c: df.agg(F.expr(f"percentile({c}, 0.5)")).first()[0] for c in ("a", "b")}
+    assert got == want
