@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fixture_sql import alert_columns, clean, ema, strip, with_ctes
+from .registry import FRAMES
 
 ORACLES: dict[str, str] = {}
 
@@ -420,10 +421,22 @@ SELECT count(*) AS total_jobs, count(*) FILTER (WHERE prediction = 1) AS fake_jo
   count(*) FILTER (WHERE prediction <> 1) AS real_jobs, count(*) FILTER (WHERE prediction = 1) * 100.0::DOUBLE / count(*) AS fake_percentage,
   max(created_at) AS last_processed_at FROM predictions""", "fake_percentage")
 oracle("alert_stream", "SELECT * FROM alert_rows", "risk risk_score")
-oracle("snapshot", """
-SELECT 'metrics' AS frame, 1 AS n UNION ALL SELECT 'trends', 25 UNION ALL SELECT 'cluster_spikes', 25
-UNION ALL SELECT 'system_metrics', 1 UNION ALL SELECT 'recent_activity', 1
-UNION ALL SELECT 'alerts', (SELECT least(25, count(*)) FROM versions WHERE prediction = 1)
-UNION ALL SELECT 'corrections', (SELECT least(25, count(*)) FROM history_jobs)
-UNION ALL SELECT 'top_clusters', (SELECT least(8, count(DISTINCT cluster_id)) FROM members, clock
-  WHERE created_at BETWEEN as_of - INTERVAL 24 HOUR AND as_of)""")
+
+
+def _snapshot() -> str:
+    """Every figure of every frame, from the checks of the frames themselves."""
+    parts = []
+    twins = {"metrics": "dashboard_metrics", "corrections": "corrections_with_jobs", "trends": "hourly_trends"}
+    for name, (key, figures) in FRAMES.items():
+        twin = twins.get(name, name)
+        item = "strftime(bucket_start, '%Y-%m-%d %H:%M:%S')" if key == "bucket_start" else key or "''"
+        rows = " UNION ALL ".join(
+            f"SELECT '{name}' AS frame, CAST({item} AS VARCHAR) AS item, '{c}' AS figure, "
+            f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS value FROM {name}_rows"
+            for c in figures.split()
+        )
+        parts.append(f"SELECT * FROM (WITH {name}_rows AS MATERIALIZED ({ORACLES[twin]}) {rows})")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["snapshot"] = _snapshot()

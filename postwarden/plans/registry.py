@@ -24,7 +24,7 @@ from ..operators import rules as ru
 from ..operators import similarity as si
 from ..operators import trends as tr
 from ..operators import vectors as ve
-from ..session import scratch_path, use_utc
+from ..session import cut_lineage, scratch_path, use_utc
 from ..sinks import tables as sk
 from ..sources import feed as fd
 from ..sources import postings as so
@@ -964,26 +964,57 @@ def score_stream(spark, sf):
 
 @query
 def snapshot(spark, sf):
-    frames = snapshot_frames(
-        fx.corrected_predictions(spark, sf), fx.memberships(spark, sf), fx.corrections(spark, sf),
-        fx.metrics(spark, sf), fx.as_of(spark, sf),
-    )
-    sizes = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("frame"), "n") for n, f in frames.items()]
-    out = sizes[0]
-    for size in sizes[1:]:
-        out = out.unionByName(size)
+    written = [
+        cut_lineage(f(spark, sf)) for f in (fx.corrected_predictions, fx.memberships, fx.corrections, fx.metrics)
+    ]
+    frames = snapshot_frames(*written, fx.as_of(spark, sf), system_minutes=120, recent_minutes=60, fixes=50)
+    out = None
+    for name, frame in frames.items():
+        rows = snapshot_rows(name, frame)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def snapshot_frames(predictions, members, corrections, metrics, as_of) -> dict[str, DataFrame]:
-    """All frames of the dashboard at one instant."""
+#: What names a row of a frame, and its figures.
+FRAMES = {
+    "metrics": (
+        None, "total_jobs fake_jobs real_jobs fake_percentage throughput avg_confidence processing_latency_ms "
+        "corrected_jobs high_pressure_clusters",
+    ),
+    "alerts": ("job_id", "risk risk_score"),
+    "trends": ("bucket_start", "total_jobs fake_jobs real_jobs throughput"),
+    "corrections": ("job_id", "old_score new_score"),
+    "top_clusters": ("cluster_id", "jobs_1h jobs_6h jobs_24h pressure_score corrected_jobs peak_score"),
+    "cluster_spikes": ("bucket_start", "cluster_jobs corrections"),
+    "system_metrics": (
+        None, "throughput_jobs_per_sec avg_latency_ms error_rate fraud_rate anomaly_rate kafka_lag "
+        "spark_batch_time_ms db_insert_time_ms queue_backlog samples",
+    ),
+    "recent_activity": (None, "recent_jobs"),
+}
+
+
+def snapshot_rows(name: str, frame: DataFrame) -> DataFrame:
+    """(frame, item, figure, value): every figure of every row of a frame."""
+    key, figures = FRAMES[name]
+    item = F.date_format(key, "yyyy-MM-dd HH:mm:ss") if key == "bucket_start" else F.col(key) if key else F.lit("")
+    value = lambda c: (F.round(F.col(c).cast("double"), 6) + 0.0).alias("value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("figure"), value(c)) for c in figures.split()])
+    return frame.select(F.lit(name).alias("frame"), item.cast("string").alias("item"), F.inline(pairs))
+
+
+def snapshot_frames(
+    predictions, members, corrections, metrics, as_of, system_minutes=5, recent_minutes=2, fixes=25
+) -> dict[str, DataFrame]:
+    """All frames of the dashboard at one instant; the inputs are read by several frames,
+    so they should be written tables."""
     return {
         "metrics": me.dashboard_metrics(predictions, members, as_of),
         "alerts": al.alerts(predictions, 25),
         "trends": tr.hourly_trends(predictions, 24, as_of),
-        "corrections": ins.corrections_with_jobs(corrections, predictions, 25),
+        "corrections": ins.corrections_with_jobs(corrections, predictions, fixes),
         "top_clusters": ins.top_clusters(members, predictions, 8, as_of),
         "cluster_spikes": tr.cluster_spikes(members, corrections, 24, as_of),
-        "system_metrics": me.system_metrics(metrics, predictions, 5, as_of),
-        "recent_activity": me.recent_activity(predictions, 2, as_of),
+        "system_metrics": me.system_metrics(metrics, predictions, system_minutes, as_of),
+        "recent_activity": me.recent_activity(predictions, recent_minutes, as_of),
     }
