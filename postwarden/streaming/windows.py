@@ -106,3 +106,70 @@ def latest_windows(windows: DataFrame) -> DataFrame:
     rest = [c for c in windows.columns if c not in ("window_start", "batch_id")]
     newest = F.max(F.struct("batch_id", *rest)).alias("newest")
     return windows.groupBy("window_start").agg(newest).select("window_start", *[f"newest.{c}" for c in rest])
+
+
+_MODES = "deployment string, sample_at timestamp_ntz, mode string, by_timer boolean"
+
+
+class ModeProcessor(StatefulProcessor):
+    """Mode of a deployment for each sample, and a row of its own once the recovery time
+    has passed by the clock, whether another sample comes or not."""
+
+    def __init__(self, recovery_seconds: int):
+        self.recovery = pd.Timedelta(seconds=recovery_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # an unhealthy sample was seen; when the first healthy one after it was, if any
+        self.state = handle.getValueState("mode", "degraded boolean, healthy_us bigint, timer_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("sample_at", ignore_index=True)
+        unhealthy, since, timer = (bool(s[0]), s[1], s[2]) if (s := self._get()) else (False, -1, -1)
+        modes = []
+        for at, degraded in zip(own["sample_at"], own["degraded"]):
+            if degraded:
+                unhealthy, since, mode = True, -1, "degraded"
+            elif not unhealthy:
+                mode = "normal"
+            else:
+                since = since if since >= 0 else at.value // 1000
+                mode = "normal" if at - pd.Timestamp(since * 1000) > self.recovery else "recovery"
+            modes.append(mode)
+        if timer >= 0 and modes[-1] != "recovery":
+            self.handle.deleteTimer(timer)
+            timer = -1
+        elif timer < 0 and modes[-1] == "recovery":
+            timer = timerValues.getCurrentProcessingTimeInMs() + int(self.recovery.total_seconds() * 1000) + 1
+            self.handle.registerTimer(timer)
+        self.state.update((unhealthy, since, timer))
+        yield pd.DataFrame({"deployment": key[0], "sample_at": own["sample_at"], "mode": modes, "by_timer": False})
+
+    def _get(self) -> tuple | None:
+        return self.state.get() if self.state.exists() else None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        unhealthy, since, _ = self.state.get()
+        self.state.update((unhealthy, since, -1))
+        ended = pd.Timestamp(since * 1000) + self.recovery
+        yield pd.DataFrame({"deployment": [key[0]], "sample_at": [ended], "mode": ["normal"], "by_timer": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_system_mode(status: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """(deployment, sample_at, mode, by_timer) for a stream of ``health_status`` rows.
+
+    Samples get the mode that ``system_mode`` gives them in a table; they must come in
+    the order of time, as far as one deployment goes. A deployment that stays in recovery
+    without a further sample gets a row ``normal`` by timer.
+    """
+    status.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = status.select(F.col(key).cast("string").alias("deployment"), "sample_at", "degraded")
+    return rows.groupBy("deployment").transformWithStateInPandas(
+        statefulProcessor=ModeProcessor(config.recovery_seconds),
+        outputStructType=_MODES,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
