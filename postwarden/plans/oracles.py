@@ -44,6 +44,9 @@ SELECT job_id, title, doc_id, CAST(quality AS DOUBLE) AS quality, fraudulent FRO
 oracle("read_postings_jsonl", f"""
 SELECT job_id AS id, {strip("title")} AS title, {strip("description")} AS description, company,
   event_timestamp AS "timestamp" FROM postings WHERE {strip("title")} <> '' AND doc_id % 10 <> 0""")
+oracle("ingest_rate_limit", """
+SELECT least(total // 7 + 1, total - b * (total // 7 + 1)) AS n, b AS batch_id
+FROM (SELECT count(*) AS total FROM postings), generate_series(0, 6) AS batches(b) WHERE b * (total // 7 + 1) < total""")
 oracle("read_postings_stream", """
 SELECT CASE WHEN ok THEN job_id ELSE '' END AS job_id, CASE WHEN ok THEN title ELSE '' END AS title,
   CASE WHEN ok THEN description ELSE '' END AS description, CASE WHEN ok THEN company ELSE '' END AS company,

@@ -28,6 +28,7 @@ from ..session import cut_lineage, scratch_path, use_utc
 from ..sinks import tables as sk
 from ..sources import feed as fd
 from ..sources import postings as so
+from ..streaming import messages as ms
 from ..streaming import pipeline as st
 from ..streaming import source as ss
 from ..streaming import windows as sw
@@ -168,6 +169,28 @@ def _to_files(df: DataFrame, path: str) -> None:
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+@query
+def ingest_rate_limit(spark, sf):
+    """The messages of each trigger under a limit of a seventh of them."""
+    path = scratch_path(spark)
+    rows = _messages(spark, sf).select(F.col("offset").cast("string").alias("key"), "value", F.col("offset").alias("order"))
+    ms.write_messages(rows, f"{path}/topic")
+    total = sum(ms.message_ends(f"{path}/topic").values())
+    limit = total // 7 + 1
+    stream = ms.read_messages(spark, f"{path}/topic", maxOffsetsPerTrigger=str(limit))
+    schema = "n bigint, batch_id bigint"
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        figures = batch.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+        sk.write_batch(figures, f"{path}/out", batch_id)
+
+    writer = stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{path}/checkpoint")
+    running = writer.trigger(processingTime="100 milliseconds").start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
 @query
 def new_predictions_since(spark, sf):
     page = fd.new_predictions_since(fx.predictions(spark, sf), 100)

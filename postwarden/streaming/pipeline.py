@@ -16,10 +16,11 @@ from ..functions.scalars import as_time, count_if, hours, is_one
 from ..operators.alerts import alert_from_prediction
 from ..operators.anomaly import smoothing, surge_marks
 from ..operators.features import clean_text, combined_text, serve_time_features
-from ..operators.metrics import batch_metrics
+from ..operators.metrics import batch_metrics, stream_lag
 from ..operators.model import score
 from ..operators.pressure import apply_corrections, correction_events, latest_versions
-from ..operators.records import event_latency_ms, processed_event, sanitize_prediction
+from ..operators.records import dead_letter_records, event_latency_ms, processed_event, sanitize_prediction
+from ..operators.retry import enqueue
 from ..operators.rules import posting_reason, scored_record
 from ..operators.similarity import assign_clusters, cluster_memberships
 from ..sinks.tables import (
@@ -27,10 +28,12 @@ from ..sinks.tables import (
     publish,
     write_batch,
     write_batch_metrics,
-    write_dead_letters,
     write_memberships,
     write_predictions,
 )
+from .messages import message_ends
+from .repeats import marked_repeats
+from .retries import QUEUED, Attempt, drop_overflow, pending, queue_failed
 from .tables import BATCH_STATE, Tables
 
 
@@ -47,20 +50,8 @@ def scored_postings(postings: DataFrame, model: PipelineModel) -> DataFrame:
     return posting_reason(score(cleaned, model).withColumn("combined_text", F.col("raw_text")).drop("raw_text"))
 
 
-def deduplicated(postings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated job ids of a stream while the watermark remembers them; rows
-    without an id pass."""
-    key = F.when(F.col("job_id") != "", F.col("job_id")).otherwise(
-        F.sha2(F.concat_ws("|", "raw_value", F.col("kafka_partition"), F.col("kafka_offset")), 256)
-    )
-    timed = postings.withColumn("_key", key).withWatermark("kafka_timestamp", delay)
-    return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
-
-
-def vectorizer_of(model: PipelineModel) -> PipelineModel:
-    """The TF-IDF part of a trained model, its first stage."""
-    first = model.stages[0]
-    return first if isinstance(first, PipelineModel) else PipelineModel(model.stages[:4])
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 class BatchWriter:
@@ -68,22 +59,31 @@ class BatchWriter:
 
     The surge baseline and the clock of each batch are rows of a small state table,
     so a restart goes on where it stopped and a replayed batch writes the same rows.
-    Clusters weigh all terms of the batch and its window, as in a batch table; the
-    classifier's ``vectorizer``, which knows its most used terms alone, has no part.
+    Clusters weigh all terms: by the ``idf`` table, if one is given, so that weights
+    do not change from batch to batch, else by the batch and its window.
+
+    ``insert`` is a sink outside the lake; what it refuses goes to the retry queue, which
+    ``drain_retries`` empties. No posting is lost: malformed and repeated ones are dead
+    letters. ``message_path`` is the folder of the message source, for the lag.
     """
 
     def __init__(
         self,
         tables: Tables,
-        vectorizer: PipelineModel | None = None,
         config: Config = DEFAULT,
         processed_format: str | None = None,
         processed_options: dict[str, str] | None = None,
+        insert: Attempt | None = None,
+        message_path: str | None = None,
+        idf: DataFrame | None = None,
     ):
         self.tables = tables
         self.config = config
         self.processed_format = processed_format
         self.processed_options = processed_options or {}
+        self.insert = insert
+        self.message_path = message_path
+        self.idf = idf
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -99,7 +99,7 @@ class BatchWriter:
         mine = next((r for r in past if r["batch_id"] == batch_id), None)
         if mine is not None:
             return datetime.fromisoformat(mine["started_at"]), mine["is_anomaly"], mine["anomaly_reason"]
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        now = _now()
         means = (past[0]["ema_count"], past[0]["ema_rate"]) if past else (None, None)
         a = smoothing(self.config)
         flag, reason = surge_marks(self.config)
@@ -129,7 +129,8 @@ class BatchWriter:
         tables, config = self.tables, self.config
         if batch.isEmpty():
             return
-        good = batch.filter(~F.col("is_malformed"))
+        repeated = F.col("is_repeat") if "is_repeat" in batch.columns else F.lit(False)
+        good = batch.filter(~F.col("is_malformed") & ~repeated)
         bad = batch.filter("is_malformed")
         now, flag, reason = self._judge(good, batch_id)
         clock = as_time(now)
@@ -141,7 +142,8 @@ class BatchWriter:
         # a replayed batch keeps the same one of several rows with an id
         place = F.struct("event_timestamp", F.xxhash64("title", "text_blob"))
         newest = Window.partitionBy("job_id").orderBy(place)
-        once = clean.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
+        numbered = clean.withColumn("_nth", F.row_number().over(newest))
+        once = numbered.filter("_nth = 1").drop("_nth")
         # batches that replay must not see their own rows
         earlier = tables.predictions(as_stored=True).filter(F.col("batch_id") < batch_id)
         frame = tables.recent(earlier, now, config.lookback_hours)
@@ -154,7 +156,7 @@ class BatchWriter:
                 F.lit(True).alias("asks"),
             )
         )
-        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config)
+        clusters = assign_clusters(pool.dropDuplicates(["job_id"]), config, idf=self.idf)
         # ids grow from batch to batch, so a feed that pages by them misses none
         order = global_order(once.select("job_id"), ["job_id"], "_place").select("job_id", "_place")
         stored = once.drop("cluster_id").join(clusters, "job_id").join(order, "job_id")
@@ -163,16 +165,42 @@ class BatchWriter:
         write_predictions(stored.select(*names), tables.path("predictions"), batch_id)
         mine = tables.predictions(as_stored=True).filter(F.col("batch_id") == batch_id)
         write_memberships(cluster_memberships(mine), tables.path("memberships"), batch_id)
-        inserted_at = datetime.now(timezone.utc).replace(tzinfo=None)
+        inserted_at = _now()
 
         self._correct(mine, now, batch_id)
 
-        if not bad.isEmpty():
-            letters = bad.select("job_id", "title", "raw_value")
-            write_dead_letters(letters, tables.path("dead_letters"), "parse", "malformed JSON", batch_id)
+        self._letters(batch.filter(~F.col("is_malformed") & repeated), bad, numbered.filter("_nth > 1"), mine, batch_id)
         if self.processed_format:
             publish(processed_event(mine), "id", self.processed_format, self.processed_options)
-        self._measure(mine, bad, now, inserted_at, batch_id)
+        self._measure(batch, mine, bad, now, inserted_at, batch_id)
+
+    def _letters(
+        self, repeats: DataFrame, bad: DataFrame, again: DataFrame, stored: DataFrame, batch_id: int
+    ) -> None:
+        """Give the stored rows to the sink, queue what it refuses, and write a dead
+        letter for every posting that is not stored."""
+        tables, config = self.tables, self.config
+        raw = lambda df, reason: dead_letter_records(df.select("job_id", "title", "raw_value"), "parse", reason)
+        letters = raw(bad, "malformed JSON")
+        for rows in (repeats.select("job_id", "title", "raw_value"), again.drop("_nth")):
+            letters = letters.unionByName(dead_letter_records(rows, "dedupe", "repeated id"))
+        if self.insert:
+            queued = tables.read("retry_queue/from=stream", QUEUED).filter(F.col("batch_id") == batch_id)
+            # a batch that runs again has queued its rows already, and they may have moved on
+            if queued.isEmpty():
+                _, failed = self.insert(stored.select(*[f.name for f in schemas.PREDICTION.fields]))
+                queue_failed(tables, enqueue(failed, F.lit(_now())), "stream", batch_id)
+            if pending(tables).count() > config.max_backlog:
+                letters = letters.unionByName(drop_overflow(tables, batch_id, config))
+        write_batch(letters, tables.path("dead_letters"), batch_id)
+
+    def _lag(self, batch: DataFrame) -> int:
+        """Messages behind those of the batch."""
+        if not self.message_path:
+            return 0
+        ends = [(int(p), end) for p, end in message_ends(self.message_path).items()]
+        rows = batch.sparkSession.createDataFrame(ends, "partition int, end_offset bigint")
+        return stream_lag(batch, rows).first()["lag"]
 
     def _correct(self, mine: DataFrame, now: datetime, batch_id: int) -> None:
         """Corrections in the clusters that this batch touched (at most one per row)."""
@@ -194,9 +222,15 @@ class BatchWriter:
             corrected.unpersist()
 
     def _measure(
-        self, mine: DataFrame, bad: DataFrame, started: datetime, inserted_at: datetime, batch_id: int
+        self,
+        batch: DataFrame,
+        mine: DataFrame,
+        bad: DataFrame,
+        started: datetime,
+        inserted_at: datetime,
+        batch_id: int,
     ) -> None:
-        done = datetime.now(timezone.utc).replace(tzinfo=None)
+        done = _now()
         seen = event_latency_ms(mine, as_time(done)).select(
             "prediction", "is_anomaly", F.lit(True).alias("inserted"), "latency_ms"
         )
@@ -214,7 +248,8 @@ class BatchWriter:
                 "completed_at": as_time(done),
             }
         )
-        figures = batch_metrics(rows).withColumn("created_at", as_time(started))
+        backlog = pending(self.tables).count() if self.insert else 0
+        figures = batch_metrics(rows, backlog, self._lag(batch)).withColumn("created_at", as_time(started))
         write_batch_metrics(figures, self.tables.path("batch_metrics"), batch_id)
 
 
@@ -226,11 +261,12 @@ def score_stream(
     available_now: bool = False,
     **writer: object,
 ) -> StreamingQuery:
-    """Start scoring ``postings`` into the tables below ``root``."""
+    """Start scoring ``postings`` into the tables below ``root``; ``writer`` are the
+    options of ``BatchWriter``."""
     spark = postings.sparkSession
     tables = Tables(spark, root)
-    writer = BatchWriter(tables, vectorizer_of(model), config, **writer)
-    scored = scored_postings(deduplicated(postings), model)
+    writer = BatchWriter(tables, config, **writer)
+    scored = scored_postings(marked_repeats(postings), model)
     query = scored.writeStream.foreachBatch(writer).option("checkpointLocation", tables.path("_checkpoint"))
     if available_now:
         return query.trigger(availableNow=True).start()
