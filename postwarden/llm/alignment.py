@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 import tiktoken
@@ -27,8 +30,9 @@ from .common import Batches, batch_of, mapped, texts
 
 #: The same ids as byte_bpe_50k.json without its special token, from the rank file.
 FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Bytes of windows that a worker keeps.
-HELD = 160 << 20
+#: Bytes of windows and of chunks that a worker keeps, and characters of the texts that it aligns, and
+#: links that it looks up, together.
+HELD, RUN = 64 << 20, 1 << 20
 #: Pairs that the tasks may hold at once (16 bytes each); more are joined.
 MOST_PAIRS = 4_000_000
 _SPACE_MARK = "▁"
@@ -40,10 +44,12 @@ _SPACE_MARK = "▁"
 class Side:
     """Byte strings of the ids of a tokenizer."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], end: str):
         self.tokens = tokens
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens], bool)
+        #: What is written of an id inside a group and at its end.
+        self.shown = [f"{i}{mark}".encode() for i in range(len(tokens)) for mark in (",", end)]
 
     def starts(self, ids: np.ndarray) -> np.ndarray:
         sizes = self.sizes[ids]
@@ -63,36 +69,70 @@ class Both:
         self.bytes_model = tiktoken.Encoding(
             "first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.a = Side(sorted(ranks, key=ranks.get))
+        self.a = Side(sorted(ranks, key=ranks.get), "|")
         self.piece_model = sentencepiece.SentencePieceProcessor(model_file=second)
         pieces = [self.piece_model.id_to_piece(i) for i in range(self.piece_model.vocab_size())]
         self.b = Side(
             [
                 bytes([int(p[3:5], 16)]) if self.piece_model.is_byte(i) else p.replace(_SPACE_MARK, " ").encode()
                 for i, p in enumerate(pieces)
-            ]
+            ],
+            ";",
         )
+        self.shown = self.a.shown + self.b.shown
         # a text may be cut before a space where no piece reaches over it
         self.cuts = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) for p in pieces)
         self.known: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
-        self.held = 0
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both for a text, of all of it; none where the bytes differ from it."""
-        none = np.zeros(0, "<u2"), np.zeros(0, "<u2")
-        if not text:
-            return none
-        a: list[int] = []
-        b: list[int] = []
-        for at, part in enumerate(slices(text) if self.cuts else [text]):
-            a += self.bytes_model.encode_ordinary(part if at else " " + part)
-            # the model puts a space before what it is given
-            b += self.piece_model.encode(part[1:] if at else part)
-        whole = b" " + text.encode()
-        for side, ids in ((self.a, a), (self.b, b)):
-            if b"".join(map(side.tokens.__getitem__, ids)) != whole:
-                return none
-        return np.array(a, "<u2"), np.array(b, "<u2")
+        self.chunks: dict[str, bytes | None] = {}
+        self.held = self.chunks_held = 0
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        """Pieces of chunks, each as if a space came before it; none where they do not
+        give it back byte by byte."""
+        ids = self.piece_model.encode(chunks, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), "<u2")
+        ends = np.cumsum([len(i) for i in ids])
+        wanted = [b" " + chunk.encode() for chunk in chunks]
+        found = b"".join(map(self.b.tokens.__getitem__, flat.tolist()))
+        stops = np.concatenate([[0], np.cumsum(self.b.sizes[flat])])[ends]
+        good = found == b"".join(wanted) and stops.tolist() == np.cumsum([len(w) for w in wanted]).tolist()
+        raw, at = flat.tobytes(), 0
+        for chunk, want, end, stop in zip(chunks, wanted, (ends * 2).tolist(), stops.tolist()):
+            same = good or found[stop - int(self.b.sizes[flat[at // 2 : end // 2]].sum()) : stop] == want
+            self.chunks[chunk] = raw[at:end] if same else None
+            self.chunks_held += 250 + len(want) + end - at
+            at = end
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text, of all of it; none where the bytes differ from it.
+
+        No piece reaches from another character into a space, so pieces are found in the
+        chunks between single spaces alone, each chunk once. Texts with neighbouring
+        spaces are one chunk.
+        """
+        plain = lambda t: self.cuts and "  " not in t and t[0] != " " and t[-1] != " "
+        chunks = [(t.split(" ") if plain(t) else [t]) if t else [] for t in texts]
+        every = set().union(*chunks)
+        missing = every.difference(self.chunks)
+        if missing and self.chunks_held > HELD:
+            self.chunks.clear()
+            self.chunks_held, missing = 0, every
+        if missing:
+            self._learn_chunks(list(missing))
+        out = []
+        for text, own in zip(texts, chunks):
+            found = list(map(self.chunks.__getitem__, own))
+            first = second = np.zeros(0, "<u2")
+            if found and None not in found:
+                second = np.frombuffer(b"".join(found), "<u2")
+                parts = slices(" " + text) if self.cuts else [" " + text]
+                ids = [self.bytes_model.encode_to_numpy(part, disallowed_special=()) for part in parts]
+                first = np.concatenate(ids).astype("<u2")
+                # ids of bytes cut the bytes they are given, so their number tells
+                if int(self.a.sizes[first].sum()) != int(self.b.sizes[second].sum()):
+                    first = second = np.zeros(0, "<u2")
+            out.append((first, second))
+        return out
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
         """The id tuples between anchors, as bytes."""
@@ -108,39 +148,54 @@ class Both:
         x, y = a.tobytes(), b.tobytes()
         return [(x[i:j], y[k:n]) for i, j, k, n in zip(left, left[1:], right, right[1:])]
 
-    def _align(self, window: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        """The groups of a window as text, and its links: the first id times 2**16 plus
-        the second, little-endian unsigned 32-bit."""
-        a, b = (np.frombuffer(ids, "<u2").tolist() for ids in window)
-        groups, links, i, k = [], [], 0, 0
-        while i < len(a):
-            begin, other = i, k
-            x, y = int(self.a.sizes[a[i]]), int(self.b.sizes[b[k]])
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += int(self.a.sizes[a[i]])
-                else:
-                    k += 1
-                    y += int(self.b.sizes[b[k]])
-            links.append(a[i] << 16 | b[k])
-            i, k = i + 1, k + 1
-            groups.append(",".join(map(str, a[begin:i])) + "|" + ",".join(map(str, b[other:k])))
-        found = ";".join(groups).encode(), np.array(links, "<u4").tobytes()
-        self.held += 300 + sum(map(len, (*window, *found)))
+    def _learn(self, windows: list[tuple[bytes, bytes]]) -> None:
+        """Align windows that are not known, all at once, and keep them.
+
+        The byte strings of a window are equal on both sides, so those of all windows
+        one after another are, and a place where tokens of both end is found by marking
+        the ends of one side and looking up those of the other.
+        """
+        a, b = (np.frombuffer(b"".join([w[side] for w in windows]), "<u2") for side in (0, 1))
+        ends, other = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        marked = np.zeros(int(ends[-1]) + 1, bool)
+        marked[ends] = True
+        last_b = marked[other]
+        marked[:] = False
+        marked[other] = True
+        last_a = marked[ends]
+        links = a[last_a].astype("<u4") << 16 | b[last_b]
+        # tokens in the order of groups, the first side before the second in each
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        codes = np.concatenate([a * np.int64(2) + last_a, len(self.a.shown) + b * np.int64(2) + last_b])[order]
+        pieces = list(map(self.shown.__getitem__, codes.tolist()))
+        sizes = [np.array([len(w[side]) // 2 for w in windows]) for side in (0, 1)]
+        cuts = [0, *np.cumsum(sizes[0] + sizes[1]).tolist()]
+        counts = np.add.reduceat(last_a.astype(np.int64), np.cumsum(sizes[0]) - sizes[0])
+        raw, at = links.tobytes(), [0, *(np.cumsum(counts) * 4).tolist()]
+        for i, window in enumerate(windows):
+            found = b"".join(pieces[cuts[i] : cuts[i + 1]]), raw[at[i] : at[i + 1]]
+            self.held += 330 + len(window[0]) + len(window[1]) + len(found[0]) + len(found[1])
+            self.known[window] = found
+
+    def align_all(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+        """The groups of each document as text, and its links: the first id times 2**16
+        plus the second, little-endian unsigned 32-bit."""
+        windows = [self.windows(a, b) if len(a) else [] for a, b in ids]
         if self.held > HELD:
             self.known.clear()
             self.held = 0
-        self.known[window] = found
-        return found
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
-        """The groups of a document as text and its links."""
-        if not len(a):
-            return b"", b""
-        known = self.known
-        found = [known.get(w) or self._align(w) for w in self.windows(a, b)]
-        return b";".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        found = [list(map(self.known.get, own)) for own in windows]
+        missing = {w for own, its in zip(windows, found) if None in its for w, f in zip(own, its) if f is None}
+        if missing:
+            self._learn(list(missing))
+        out = []
+        for own, its in zip(windows, found):
+            if None in its:
+                its = [f or self.known[w] for w, f in zip(own, its)]
+            # every group ends with a semicolon; the last one of a document does not
+            out.append((b"".join([f[0] for f in its])[:-1], b"".join([f[1] for f in its])))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -149,6 +204,18 @@ def both(first: str, second: str) -> Both:
     return Both(first, second)
 
 
+def _runs(given: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``RUN`` characters together."""
+    some, held = [], 0
+    for text in given:
+        some.append(text)
+        held += len(text)
+        if held > RUN:
+            yield some
+            some, held = [], 0
+    yield some
+
+
 def aligned(docs: DataFrame, first: str | None = None, second: str | None = None, with_groups: bool = False) -> DataFrame:
     """``row`` (a number of its own, new in every run), ``doc_id``, ``n_a``, ``n_b``,
     ``links`` (binary, one unsigned 32-bit number a link: the first id times 65,536 plus
@@ -167,14 +234,14 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
         pair, row = both(first, second), TaskContext.get().partitionId() << 40
         for batch in batches:
             counts, links, hashes, groups = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                a, b = pair.encode(text)
-                listed, own = pair.align(a, b)
-                counts.append((len(a), len(b)))
-                links.append(own)
-                hashes.append(hashlib.sha256(listed).hexdigest() if len(a) else "")
-                if with_groups:
-                    groups.append(listed.decode())
+            for some in _runs(batch.column("text").to_pylist()):
+                ids = pair.encode(some)
+                for (a, b), (listed, own) in zip(ids, pair.align_all(ids)):
+                    counts.append((len(a), len(b)))
+                    links.append(own)
+                    hashes.append(hashlib.sha256(listed).hexdigest() if len(a) else "")
+                    if with_groups:
+                        groups.append(listed.decode())
             sizes = np.array(counts, np.int64).reshape(-1, 2)
             columns = [
                 pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id"), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]),
@@ -189,6 +256,18 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
 # --- counts -------------------------------------------------------------------------
 
 
+def _links_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of a batch at a time, their links, and where the links of each row end."""
+    sizes = pc.binary_length(batch.column("links")).to_numpy().astype(np.int64) // 4
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        rows = batch.slice(at, max(int(np.searchsorted(ends, before + RUN, "right")) - at, 1))
+        links = np.frombuffer(b"".join(rows.column("links").to_pylist()), "<u4")
+        yield rows, links, ends[at : at + len(rows)] - before
+        at += len(rows)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     pair, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
     return pair, np.bincount(back, np.concatenate([n for _, n in parts]), len(pair)).astype(np.int64)
@@ -196,8 +275,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _count_links(batches: Batches) -> Batches:
     parts, held = [], 0
-    for batch in batches:
-        own = np.frombuffer(b"".join(batch.column("links").to_pylist()), "<u4")
+    for _, own, _ in (run for batch in batches for run in _links_of(batch)):
         parts.append(np.unique(own, return_counts=True))
         held += len(parts[-1][0])
         if held > MOST_PAIRS:
@@ -233,12 +311,11 @@ def _with_held(spark: SparkSession, found: DataFrame, counts: DataFrame) -> Data
 
     def run(batches: Batches) -> Batches:
         pair, n, best = given.value
-        for batch in batches:
-            links = batch.column("links").to_pylist()
-            at = np.searchsorted(pair, np.frombuffer(b"".join(links), "<u4"))
-            ends = np.concatenate([[0], np.cumsum([len(own) // 4 for own in links])]).astype(np.int64)
+        for rows, links, ends in (run for batch in batches for run in _links_of(batch)):
+            at = np.searchsorted(pair, links)
+            ends = np.concatenate([[0], ends])
             summed = lambda values: np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends])
-            yield batch_of([*batch.columns, pa.array(summed(best[at])), pa.array(summed(n[at]))], names)
+            yield batch_of([*rows.columns, pa.array(summed(best[at])), pa.array(summed(n[at]))], names)
 
     kinds = ", ".join(f"{c} {t}" for c, t in found.dtypes)
     return mapped(found, run, f"{kinds}, {_FATE}")
