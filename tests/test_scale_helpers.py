@@ -160,6 +160,29 @@ def test_a_match_far_back_counts_until_the_window_ends(spark):
     assert got["copy"] == "first" and got["late"] == "first" and got.get("gone") != "n003"
 
 
+def test_vectors_travel_by_slices_not_by_pairs(spark):
+    # 300 unlike texts that share most words: nearly every pair is worth a look
+    rows = [(f"j{i:03d}", " ".join(f"w{k}" for k in range(40) if k != i % 40) + f" x{i}", i) for i in range(300)]
+    rows.append(("j900", rows[0][1], 10**9))
+    df = spark.createDataFrame(rows, "job_id string, combined_text string, us long")
+    held = similarity.weighted_vectors(tfidf_weights(df)).localCheckpoint()
+    placed = held.join(df, "job_id").select("job_id", "us", F.lit(True).alias("asks"), "v")
+    vectors = held.drop("job_id").dropDuplicates(["v"])
+    lengths = vectors.select("v", F.size("terms").alias("n_terms"))
+    assert similarity.blocks(placed, lengths, 10**6).count() <= 2 * 300 + 2
+    dense = {r["v"]: dict(zip(r["terms"], r["weights"])) for r in vectors.collect()}
+    product = lambda a, b: round(sum(w * dense[b].get(t, 0.0) for t, w in dense[a].items()), 9)
+    early = {r["v"] for r in placed.filter("us < 1000").collect()}
+    want = {(a, b) for a in early for b in early if a != b and product(a, b) >= 0.5}
+    for slice_terms in (10**6, 2000):
+        found = similarity.vector_links(placed, vectors, 10**6, 0.5, slice_terms).collect()
+        got = {(r["v"], r["other"]): r["similarity"] for r in found}
+        # links are cut by the first and last times of a slot alone
+        times = {r["v"]: r["us"] for r in placed.filter("us < 1000").collect()}
+        assert set(got) == {(a, b) for a, b in want if times[b] <= times[a]} and len(got) > 1000
+        assert all(abs(s - product(a, b)) < 2e-9 for (a, b), s in got.items())
+
+
 def test_supplied_ids_and_candidates_only(spark):
     df = spark.createDataFrame(
         [
