@@ -27,8 +27,11 @@ COSINE = 0.95
 #: each lattice. A pair at the threshold meets with probability 0.998, 0.999 and
 #: 0.999; unrelated vectors meet in a table with about 5e-3, 5e-4 and 3e-5.
 PLANS = {1: (8, 1.8, 1), 2: (12, 2.2, 1), 3: (28, 2.4, 1)}
-#: Distinct vectors up to which one and two lattices keep cells small.
-ONE_UP_TO, TWO_UP_TO = 1_000_000, 30_000_000
+#: Lattices of a table at any size of the input, so that the same vectors link in the same
+#: way whatever is beside them. Up to ``ONE_UP_TO`` distinct vectors cells stay small; beyond,
+#: their comparisons grow with the square, in blocks of the same bounded size.
+LATTICES = 1
+ONE_UP_TO = 1_000_000
 #: Rows of a slice of a cell; a block holds two slices.
 SLICE_ROWS = 2048
 SEED = 20
@@ -246,9 +249,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, slice_rows: int = S
     # vectors that differ may share their smallest id if ids repeat
     distinct = cut_lineage(distinct.withColumn("same", F.struct("rep", F.xxhash64("embedding"))))
     distinct = distinct.withColumn("rep", F.xxhash64("same")).withColumn("lowest", F.col("same.rep"))
-    count = distinct.count()
-    lattices = 1 if count <= ONE_UP_TO else 2 if count <= TWO_UP_TO else 3
-    found = cut_lineage(linked_vectors(distinct.select("rep", "embedding", "n"), lattices, cosine, slice_rows))
+    found = cut_lineage(linked_vectors(distinct.select("rep", "embedding", "n"), LATTICES, cosine, slice_rows))
     groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = distinct.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

@@ -115,3 +115,13 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()]
     found = QUERIES["op2_embeddings"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in found) == brute(rows)
+
+
+def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    used = []
+    plain = embeddings.linked_vectors
+    monkeypatch.setattr(embeddings, "linked_vectors", lambda d, lattices, *a: used.append(lattices) or plain(d, lattices, *a))
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)] * 4) for i in range(30)]
+    before = got(frame_of(spark, rows))
+    monkeypatch.setattr(embeddings, "ONE_UP_TO", 0)
+    assert got(frame_of(spark, rows)) == before and len(set(used)) == 1
