@@ -45,3 +45,31 @@ def test_folders_are_listed_by_a_bounded_number_of_tasks(spark, tmp_path):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert rows.count() == 400
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    from collections import Counter
+
+    from postwarden.operators.vectors import term_counts
+
+    texts = [("a", "x yy yy Zz zz zz, yy"), ("b", None), ("c", "one"), ("d", "q"), ("e", "bb aa bb")]
+    found = term_counts(spark.createDataFrame(texts, "job_id string, combined_text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(d, w): n for d, t in texts for w, n in Counter(w for w in (t or "").lower().replace(",", "").split() if len(w) > 1).items()}
+    assert {(r["job_id"], r["term"]): r["tf"] for r in found.collect()} == want
+
+
+def test_the_history_of_corrections_is_put_in_order_once(spark, monkeypatch):
+    from postwarden.functions import layout
+    from postwarden.operators import pressure
+
+    calls, plain = [], layout.global_order
+    count = lambda *a, **k: calls.append(1) or plain(*a, **k)
+    monkeypatch.setattr(layout, "global_order", count)
+    monkeypatch.setattr(pressure, "global_order", count, raising=False)
+    rows = spark.range(30).selectExpr(
+        "concat('j', id) AS job_id", "'c' AS cluster_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id AS int)) AS created_at",
+        "0 AS prediction", "0.4D AS original_score", "0.4D AS updated_score", "false AS is_corrected", "0.5D AS confidence",
+    )
+    assert pressure.correction_history(rows, rows.select("cluster_id", "job_id", "created_at")).count() > 20
+    assert len(calls) == 1
