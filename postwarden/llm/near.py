@@ -175,28 +175,32 @@ def _links(bands: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(dealt, _compare, "a long, b long")
 
 
-def alike(docs: DataFrame) -> DataFrame:
+def alike(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``text`` (its hash), ``key`` (the set of shingles), ``component`` for
     every row.
 
     Rows are linked by likeness, and what links connect is one component. A null text
-    is empty; texts without words are one set. An empty table gives no rows.
+    is empty; texts without words are one set. An empty table gives no rows. ``groups``
+    (``text``, ``group``: a hash of a text, a long) are compared before the bands.
     """
     plain = texts(docs).withColumn("hash", F.xxhash64("text"))
     columns = "row long, doc_id long, text long, key long, bands array<long>, n long, shingles binary"
     found = cut_lineage(mapped(plain, _sketch, columns))
     # one row for each set, chosen by numbers alone: no set is shuffled for the choice
     one = cut_lineage(found.groupBy("key").agg(F.min("row").alias("row")).select("row"))
-    distinct = cut_lineage(found.select("row", "key", "bands", "n").join(one, "row", "left_semi"))
+    distinct = cut_lineage(found.select("row", "text", "key", "bands", "n").join(one, "row", "left_semi"))
     links = None
     named = distinct.withColumn("component", F.col("key"))
-    for a, b in ((0, FIRST), (FIRST, BANDS)):
-        bands = named.select(
-            "row", "key", "n", "component", F.posexplode(F.slice("bands", a + 1, b - a)).alias("band", "at")
-        )
-        more = cut_lineage(_links(bands, found.select("row", "shingles")))
+    place = ["row", "key", "n", "component"]
+    banded = lambda a, b: named.select(*place, F.posexplode(F.slice("bands", a + 1, b - a)).alias("band", "at"))
+    steps = [lambda: banded(0, FIRST), lambda: banded(FIRST, BANDS)]
+    if groups is not None:
+        given = groups.withColumnRenamed("group", "at")
+        steps.insert(0, lambda: named.filter("n > 0").join(given, "text").select(*place, F.lit(-1).alias("band"), "at"))
+    for step in steps:
+        more = cut_lineage(_links(step(), found.select("row", "shingles")))
         links = more if links is None else links.union(more)
-        groups = components(links).withColumnRenamed("node", "key")
-        named = distinct.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        joined = components(links).withColumnRenamed("node", "key")
+        named = distinct.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
         named = cut_lineage(named)
     return found.select("doc_id", "text", "key").join(named.select("key", "component"), "key")

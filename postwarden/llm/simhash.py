@@ -388,8 +388,11 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline stage: of each group of texts that links of five-word Jaccard
-    likeness 0.8 connect (``near``), the row with the smallest doc_id stays, all
-    columns as they are.
+    likeness 0.8 connect, the row with the smallest doc_id stays, all columns as they are.
+
+    The components of the fingerprints (``near_copies``) are compared first, each link by
+    an exact count; keys of minima (``near``) then find the likenesses of 0.8 and more that
+    differ in more bits, among what the fingerprints have not joined.
 
     Of unlike texts that repeat a doc_id each stands by itself; of alike ones that of
     the smallest hash stays. Rows with a null doc_id cannot be named by a group, so all
@@ -398,7 +401,11 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mark, order, own = fresh(docs, "near_id"), fresh(docs, "near_order"), fresh(docs, "near_text")
     its = fresh(docs, "near_kept")
-    found = alike(docs.filter(F.col("doc_id").isNotNull()))
+    plain = docs.filter(F.col("doc_id").isNotNull())
+    # the operator names texts by their hash, as unlike texts may repeat a doc_id
+    hashes = texts(plain).select(F.xxhash64("text").alias("doc_id"), "text")
+    groups = near_copies(hashes).select(F.col("doc_id").alias("text"), F.col("component_id").alias("group")).distinct()
+    found = alike(plain, groups)
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias(mark), F.col("first.text").alias(its)).distinct()
     hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

@@ -123,3 +123,15 @@ def test_clashing_columns_nulls_and_repeats(spark, tmp_path, documents):
     empty = documents([], extra)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_through_the_fingerprints(spark, documents, monkeypatch):
+    from postwarden.llm import near, simhash
+
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "x"])), (3, "quite another text of seven words"), (4, ""), (5, None)]
+    # without the bands of minima only the fingerprints are left
+    monkeypatch.setattr(near, "FIRST", 0)
+    monkeypatch.setattr(near, "BANDS", 0)
+    kept = simhash.keep_first(spark, documents(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
