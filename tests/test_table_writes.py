@@ -73,3 +73,17 @@ def test_the_history_of_corrections_is_put_in_order_once(spark, monkeypatch):
     )
     assert pressure.correction_history(rows, rows.select("cluster_id", "job_id", "created_at")).count() > 20
     assert len(calls) == 1
+
+
+def test_training_rows_of_one_file_are_spread(spark, monkeypatch):
+    from postwarden.operators import model
+    from postwarden.plans import fixtures
+
+    seen = []
+    stop = lambda rows, label: seen.append(rows.rdd.getNumPartitions()) or 1 / 0
+    monkeypatch.setattr(model, "fit_logistic", stop)
+    try:
+        model.train(fixtures.training(spark, "/root/testdata/sf0.001").coalesce(1).drop("nothing"))
+    except ZeroDivisionError:
+        pass
+    assert seen and seen[0] >= spark.sparkContext.defaultParallelism
