@@ -3,7 +3,9 @@
 Every text is encoded whole by both. Places where a token of either begins with a space
 and the token before ends, in both, are anchors; they cut a document into windows of
 token ids. Windows repeat as words do, so the alignment of a window is found once for
-its two id tuples and kept. A link is a pair of tokens that end together; links are
+its two id tuples and kept. Where all white space of a text that touches a space is that
+space alone, the windows are the chunks between its spaces, and the tokens and the
+alignment of a chunk are found once and kept together. A link is a pair of tokens that end together; links are
 counted over the corpus, and each document is told how its links fare.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,9 +36,13 @@ FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Bytes of windows and of chunks that a worker keeps, and characters of the texts that it aligns, and
 #: links that it looks up, together.
 HELD, RUN = 64 << 20, 1 << 20
+#: Bytes of chunks that a worker keeps with the alignment of their tokens.
+ALIGNED = 128 << 20
 #: Pairs that the tasks may hold at once (16 bytes each); more are joined.
 MOST_PAIRS = 4_000_000
 _SPACE_MARK = "▁"
+#: A space before white space, which the first tokenizer may join with what comes before.
+_wide = re.compile(r" \s").search
 
 
 # --- tokens -------------------------------------------------------------------------
@@ -85,6 +92,9 @@ class Both:
         self.known: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
         self.chunks: dict[str, bytes | None] = {}
         self.held = self.chunks_held = 0
+        #: Numbers of tokens, groups and links of a chunk; none where it has no tokens.
+        self.aligned: dict[str, tuple[int, int, bytes, bytes] | None] = {}
+        self.aligned_held = 0
 
     def _learn_chunks(self, chunks: list[str]) -> None:
         """Pieces of chunks, each as if a space came before it; none where they do not
@@ -148,8 +158,8 @@ class Both:
         x, y = a.tobytes(), b.tobytes()
         return [(x[i:j], y[k:n]) for i, j, k, n in zip(left, left[1:], right, right[1:])]
 
-    def _learn(self, windows: list[tuple[bytes, bytes]]) -> None:
-        """Align windows that are not known, all at once, and keep them.
+    def _align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """The groups and links of some windows, found all at once.
 
         The byte strings of a window are equal on both sides, so those of all windows
         one after another are, and a place where tokens of both end is found by marking
@@ -173,8 +183,11 @@ class Both:
         cuts = [0, *np.cumsum(sizes[0] + sizes[1]).tolist()]
         counts = np.add.reduceat(last_a.astype(np.int64), np.cumsum(sizes[0]) - sizes[0])
         raw, at = links.tobytes(), [0, *(np.cumsum(counts) * 4).tolist()]
-        for i, window in enumerate(windows):
-            found = b"".join(pieces[cuts[i] : cuts[i + 1]]), raw[at[i] : at[i + 1]]
+        return [(b"".join(pieces[i:j]), raw[k:n]) for i, j, k, n in zip(cuts, cuts[1:], at, at[1:])]
+
+    def _learn(self, windows: list[tuple[bytes, bytes]]) -> None:
+        """Align windows that are not known and keep them."""
+        for window, found in zip(windows, self._align(windows)):
             self.held += 330 + len(window[0]) + len(window[1]) + len(found[0]) + len(found[1])
             self.known[window] = found
 
@@ -198,6 +211,62 @@ class Both:
         return out
 
 
+    def _learn_aligned(self, chunks: list[str]) -> None:
+        """Tokens and alignment of chunks, each as if a space came before it.
+
+        A chunk does not begin with white space, so no match of the first tokenizer
+        reaches from one into the next, and all are encoded as one text.
+        """
+        ids = self.piece_model.encode(chunks, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), "<u2")
+        ends_b = np.cumsum([len(i) for i in ids])
+        wanted = [b" " + chunk.encode() for chunk in chunks]
+        whole, found = b"".join(wanted), b"".join(map(self.b.tokens.__getitem__, flat.tolist()))
+        stops = np.concatenate([[0], np.cumsum(self.b.sizes[flat])])[ends_b]
+        ends = np.cumsum([len(w) for w in wanted])
+        same = [True] * len(chunks)
+        if found != whole or stops.tolist() != ends.tolist():
+            begins = [0, *stops.tolist()]
+            same = [found[i:j] == want for i, j, want in zip(begins, begins[1:], wanted)]
+        first = self.bytes_model.encode_to_numpy(whole.decode(), disallowed_special=()).astype("<u2")
+        ends_a = np.searchsorted(np.cumsum(self.a.sizes[first]), ends) + 1
+        x, y = first.tobytes(), flat.tobytes()
+        left, right = [0, *(ends_a * 2).tolist()], [0, *(ends_b * 2).tolist()]
+        windows = [(x[i:j], y[k:n]) if ok else None for i, j, k, n, ok in zip(left, left[1:], right, right[1:], same)]
+        its = iter(self._align([w for w in windows if w])) if any(same) else iter(())
+        for chunk, want, window in zip(chunks, wanted, windows):
+            groups, links = next(its) if window else (b"", b"")
+            self.aligned[chunk] = (len(window[0]) // 2, len(window[1]) // 2, groups, links) if window else None
+            self.aligned_held += 360 + len(want) + len(groups) + len(links)
+
+    def align_texts(self, texts: list[str]) -> list[tuple[int, int, bytes, bytes]]:
+        """The number of tokens of each side, the groups as text and the links of each
+        text, as ``encode`` and ``align_all`` give them."""
+        plain = [bool(self.cuts and t and not t[0].isspace() and t[-1] != " " and not _wide(t)) for t in texts]
+        chunks = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
+        every = set().union(*chunks)
+        missing = every.difference(self.aligned)
+        if missing and self.aligned_held > ALIGNED:
+            self.aligned.clear()
+            self.aligned_held, missing = 0, every
+        if missing:
+            self._learn_aligned(list(missing))
+        ids = self.encode([t for t, p in zip(texts, plain) if not p])
+        others = ((len(a), len(b), *own) for (a, b), own in zip(ids, self.align_all(ids)))
+        out = []
+        for p, own in zip(plain, chunks):
+            found = list(map(self.aligned.__getitem__, own))
+            if not p:
+                out.append(next(others))
+            elif None in found:
+                out.append((0, 0, b"", b""))
+            else:
+                a, b, groups, links = zip(*found)
+                # every group ends with a semicolon; the last one of a document does not
+                out.append((sum(a), sum(b), b"".join(groups)[:-1], b"".join(links)))
+        return out
+
+
 @lru_cache(maxsize=1)
 def both(first: str, second: str) -> Both:
     """One pair of tokenizers for each worker."""
@@ -235,11 +304,10 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
         for batch in batches:
             counts, links, hashes, groups = [], [], [], []
             for some in _runs(batch.column("text").to_pylist()):
-                ids = pair.encode(some)
-                for (a, b), (listed, own) in zip(ids, pair.align_all(ids)):
-                    counts.append((len(a), len(b)))
+                for n_a, n_b, listed, own in pair.align_texts(some):
+                    counts.append((n_a, n_b))
                     links.append(own)
-                    hashes.append(hashlib.sha256(listed).hexdigest() if len(a) else "")
+                    hashes.append(hashlib.sha256(listed).hexdigest() if n_a else "")
                     if with_groups:
                         groups.append(listed.decode())
             sizes = np.array(counts, np.int64).reshape(-1, 2)

@@ -132,3 +132,16 @@ def test_groups_and_repeated_rows(spark, documents):
 def test_empty_table(spark, documents):
     assert alignment.align_corpus(documents([])).count() == 0
     assert alignment.align_corpus(documents([]), most_pairs=-1).count() == 0
+
+
+def test_chunks_give_what_whole_texts_give(monkeypatch):
+    paths = public_tokenizers.path(alignment.FIRST), public_tokenizers.path(alignment.SECOND)
+    pair = alignment.Both(*paths)
+    odd = [" ".join(w for w in t.split(" ") if w) for t in odd_texts(11, 1500)]
+    given = [*odd_texts(12, 500), *odd, "a\n \n b", "a\n\n b", "a \nb", "\na b", "a b\n", "it 's 're a", "a\x1c \x1cb", "", " "]
+    ids = pair.encode(given)
+    wanted = [(len(a), len(b), *own) for (a, b), own in zip(ids, pair.align_all(ids))]
+    assert pair.align_texts(given) == wanted and 0 < len(pair.aligned)
+    monkeypatch.setattr(alignment, "ALIGNED", 700)
+    small = alignment.Both(*paths)
+    assert [small.align_texts([t])[0] for t in given] == wanted and len(small.aligned) < len(pair.aligned)
