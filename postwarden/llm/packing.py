@@ -90,13 +90,14 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def _count_documents(kind: str, size: int):
     def run(batches: Batches) -> Batches:
-        seen, here = np.zeros(size, np.int64), np.zeros(size, bool)
+        seen, last = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                here[np.frombuffer(ids.as_buffer(), kind)] = True
-                found = np.flatnonzero(here)
-                seen[found] += 1
-                here[found] = False
+            for raw in batch.column("ids"):
+                ids = np.frombuffer(raw.as_buffer(), kind)
+                places = np.arange(len(ids))
+                # an id counts at the last of its places alone
+                last[ids] = places
+                seen[ids[last[ids] == places]] += 1
         used = np.flatnonzero(seen)
         yield batch_of([pa.array(used), pa.array(seen[used])], ["id", "n"])
 

@@ -98,3 +98,19 @@ def test_a_window_takes_the_nearest_texts_first():
     pieces = list(packing.Packer(rarity, 0, 128).shard(rows, True))
     first = {p[0] % 2 for p in pieces if p[4] == 0}
     assert len(first) == 1
+
+
+def test_words_are_numbered_once_and_blanks_have_no_ids(tokenizer):
+    import numpy as np
+    import pyarrow as pa
+
+    given = [None, "", " ", "  a  b\n", "a b a", "\t", "a", "É,. é.", " lead", "trail ", "a,b, c."]
+    store = packing.word_ids(PATH).__class__(PATH)
+    wanted = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in given]
+    for _ in range(2):
+        assert [own.tolist() for own in store.encode(pa.array(given))] == wanted
+    assert store.number[b""] == 0 and store.sizes[0] == 0
+    ids = [np.array(own + [2], store.kind).tobytes() for own in wanted]
+    (batch,) = packing._count_documents(store.kind, store.size)(iter([pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])]))
+    counted = dict(zip(batch.column("id").to_pylist(), batch.column("n").to_pylist()))
+    assert counted == {i: sum(i in {*own, 2} for own in wanted) for own in wanted for i in (*own, 2)}
