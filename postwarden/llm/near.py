@@ -145,6 +145,17 @@ def _compare(batches: Batches) -> Batches:
     yield from result()
 
 
+def among(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``sets`` whose ``row`` is in ``rows``, before any of them is shuffled: a bit
+    for each row of ``sets`` tells, in blocks of 4,096 bytes that every task holds."""
+    at = F.bitmap_bit_position("row")
+    blocks = rows.groupBy(F.bitmap_bucket_number("row").alias("block")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = sets.withColumn("block", F.bitmap_bucket_number("row")).join(F.broadcast(blocks), "block")
+    bit = F.element_at(F.array([F.lit(1 << b) for b in range(8)]), (at % 8 + 1).cast("int"))
+    return marked.filter(byte.bitwiseAND(bit) != 0).select(*sets.columns)
+
+
 def _links(bands: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside cells; ``bands`` has ``band``, ``at``, ``key``, ``n``, ``component``
     and the ``row`` whose shingles in ``sets`` are those of the key. Cells of one component or of the same sets as another are left out."""
@@ -170,7 +181,7 @@ def _links(bands: DataFrame, sets: DataFrame) -> DataFrame:
         )
     )
     groups = ["cell", "low", "high"]
-    dealt = placed.join(sets, "row").select(*groups, "key", "shingles")
+    dealt = placed.join(among(sets, placed), "row").select(*groups, "key", "shingles")
     dealt = dealt.repartition(*groups).sortWithinPartitions(*groups)
     return mapped(dealt, _compare, "a long, b long")
 

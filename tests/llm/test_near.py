@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
-from postwarden.llm import near, simhash
+from postwarden.llm import common, near, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,3 +85,28 @@ def test_unlike_texts_of_one_id_both_count(spark, documents):
     rows = [(2, b), (5, a), (5, b), (6, a), (7, "x y z"), (7, "p q r"), (7, "p q r")]
     got = simhash.keep_first(spark, documents(rows), "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(2, b), (5, a), (7, "p q r"), (7, "x y z")]
+
+
+def test_only_the_sets_that_meet_are_dealt(spark):
+    part = 1 << 40
+    all_rows = [*range(1, 70_000, 7), 32_767, 32_768, 32_769, part + 1, part + 32_768, part + 32_769, 5 * part + 3]
+    wanted = [r for r in all_rows if r % 3 == 0] + [32_768, part + 32_768, 9 * part]
+    sets = spark.createDataFrame([(r, bytes([r % 251])) for r in sorted(set(all_rows))], "row long, shingles binary")
+    rows = spark.createDataFrame([(r,) for r in wanted * 2], "row long")
+    found = near.among(sets, rows).collect()
+    expected = sorted(set(all_rows) & set(wanted))
+    assert sorted((r["row"], bytes(r["shingles"])) for r in found) == [(r, bytes([r % 251])) for r in expected]
+    assert near.among(sets, rows.limit(0)).count() == 0
+
+
+def test_workers_give_back_what_they_freed():
+    def own() -> int:
+        with open("/proc/self/smaps_rollup") as file:
+            return next(int(line.split()[1]) for line in file if line.startswith("Pss_Anon"))
+
+    pieces = [bytearray(1000) for _ in range(200_000)]
+    kept = pieces[::500]  # these keep the memory between them from going back by itself
+    del pieces
+    before = own()
+    common.give_back()
+    assert own() < before - 100_000 and len(kept) == 400
