@@ -20,17 +20,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import Batches, Codes, as_bytes, batch_of, mapped, texts, words_of
+from .common import Batches, batch_of, mapped, texts
 
 #: Discount of pair counts; pairs of any count are kept. Training tokens for each
 #: part. Bits of a quantised value.
@@ -83,13 +83,25 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     }
 
 
+def _in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the one of each 64-bit word that has ``rank`` ones before it."""
+    each, top = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+    counts = np.bitwise_count(word.view(np.uint8)).view(np.uint64)
+    sums = counts * each  # byte i has the ones up to and with byte i
+    rank = rank.astype(np.uint64)
+    at = np.bitwise_count(((rank * each | top) - sums) & top).astype(np.uint64) << np.uint64(3)
+    inside = rank - ((sums << np.uint64(8)) >> at & np.uint64(255))
+    return at.astype(np.int64) + _SELECT[word >> at & np.uint64(255), inside]
+
+
 class Sequence:
     """Reads what ``encode`` wrote; all methods take and return arrays."""
 
     def __init__(self, sections: dict[str, np.ndarray], name: str):
         self.size, self.width = (int(x) for x in sections[f"{name}.shape"])
         self.low, self.before = sections[f"{name}.low"], sections[f"{name}.before"]
-        self.high = sections[f"{name}.high"].reshape(-1, BLOCK // 8)
+        self.bits = sections[f"{name}.high"].view(np.uint64)
+        self.high = self.bits.reshape(-1, BLOCK // 64)
         self.zeros = np.arange(len(self.before)) * BLOCK - self.before
 
     def lows(self, at: np.ndarray) -> np.ndarray:
@@ -101,23 +113,33 @@ class Sequence:
         upper = (self.low[np.minimum(word + 1, len(self.low) - 1)] << (np.uint64(63) - shift)) << np.uint64(1)
         return ((self.low[word] >> shift) | upper) & np.uint64((1 << self.width) - 1)
 
-    def _select(self, rank: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Place of the one (or zero, with ``flip`` 255) that has ``rank`` before it."""
+    def _select(self, rank: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the one (or zero, with ``flip``) that has ``rank`` before it."""
         out = np.empty(len(rank), np.int64)
         for start in range(0, len(rank), 1 << 16):
             r = rank[start : start + (1 << 16)]
             block = np.searchsorted(before, r, "right") - 1
-            rest = r - before[block]
-            rows = self.high[block] ^ np.uint8(flip)
-            sums = np.cumsum(np.bitwise_count(rows), axis=1, dtype=np.int16)
-            byte = (sums <= rest[:, None]).sum(axis=1)
+            rows = self.high[block].T
+            rows = ~rows if flip else rows
+            sums = np.zeros((BLOCK // 64 + 1, len(r)), np.int16)
+            np.cumsum(np.bitwise_count(rows), axis=0, dtype=np.int16, out=sums[1:])
+            rest = (r - before[block]).astype(np.int16)
+            number = (sums[1:] <= rest).sum(axis=0)
             line = np.arange(len(r))
-            inside = rest - np.where(byte > 0, sums[line, byte - 1], 0)
-            out[start : start + len(r)] = block * BLOCK + byte * 8 + _SELECT[rows[line, byte], inside]
+            word = rows[number, line]
+            out[start : start + len(r)] = block * BLOCK + number * 64 + _in_word(word, rest - sums[number, line])
         return out
 
+    def _ones_from(self, place: np.ndarray) -> np.ndarray:
+        """How many ones follow each other from a place on, 64 for that many or more."""
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        # a zero ends the last word, so what stands for the word behind it is not seen
+        upper = self.bits[np.minimum(word + 1, len(self.bits) - 1)] << (np.uint64(63) - shift) << np.uint64(1)
+        found = (self.bits[word] >> shift) | upper
+        return np.bitwise_count(found & ~(found + np.uint64(1))).astype(np.int64)
+
     def get(self, at: np.ndarray) -> np.ndarray:
-        high = (self._select(at, self.before, 0) - at).astype(np.uint64)
+        high = (self._select(at, self.before, False) - at).astype(np.uint64)
         return (high << np.uint64(self.width)) | self.lows(at)
 
     def find(self, keys: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
@@ -129,9 +151,11 @@ class Sequence:
         if not len(there):
             return out
         h = high[there].astype(np.int64)
-        after = self._select(h, self.zeros, 255) - h
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - (h - 1), 0)
-        start = np.where(h > 0, start, 0)
+        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) - (h - 1), 0)
+        ones = self._ones_from(start + h)
+        more = np.flatnonzero(ones == 64)
+        ones[more] = self._select(h[more], self.zeros, True) - h[more] - start[more]
+        after = start + ones
         if first is not None:
             start, after = np.maximum(start, first[there]), np.minimum(after, last[there])
         want = keys[there] & np.uint64((1 << self.width) - 1)
@@ -214,6 +238,21 @@ def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
 # --- training -----------------------------------------------------------------------
 
 
+#: A-Z lowered, and every separator of words as a space.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
+def words_in(column: pa.Array) -> pa.Array:
+    """The words of each text of a string column without nulls, A-Z lowered, as a list
+    with empty words between neighbouring separators."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    even = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_PLAIN) if data else b""
+    even = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(even))
+    return pc.split_pattern(even, " ")
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -221,15 +260,24 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 class Run:
     """Some texts as word codes: END follows each text, BEGIN has the last code."""
 
-    def __init__(self, contents: list[bytes]):
-        codes = Codes()
-        found = [words_of(text.lower()) for text in contents]
-        self.sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-        every = chain.from_iterable(chain(words, (END,)) for words in found)
-        self.codes = np.fromiter(map(codes.__getitem__, every), np.int64, int(self.sizes.sum()))
-        self.begin = codes[BEGIN]
-        self.hashes = hash_words(list(codes))
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+    def __init__(self, column: pa.Array):
+        words = words_in(column)
+        coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        given = coded.indices.to_numpy()
+        # nothing stands between neighbouring separators, and has the code of END
+        end = distinct.index(END) if END in distinct else len(distinct)
+        there = np.concatenate(([0], np.cumsum(given != end)))
+        self.sizes = np.diff(there[words.offsets.to_numpy()]) + 1
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        inside = np.ones(int(self.sizes.sum()), bool)
+        inside[ends - 1] = False
+        self.codes = np.full(len(inside), end, np.int64)
+        self.codes[inside] = given[given != end]
+        distinct += [END][: end + 1 - len(distinct)]
+        self.begin = len(distinct)
+        self.hashes = hash_words([*distinct, BEGIN])
 
     def contexts(self) -> np.ndarray:
         before = np.empty_like(self.codes)
@@ -240,13 +288,13 @@ class Run:
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Run]]:
     """First row, number of rows and texts of each run of about RUN_TOKENS words."""
-    contents = as_bytes(batch.column("text"))
-    at = held = 0
-    for i, text in enumerate(contents, 1):
-        held += len(text)
-        if held >= 7 * RUN_TOKENS or i == len(contents):
-            yield at, i - at, Run(contents[at:i])
-            at, held = i, 0
+    column = batch.column("text")
+    ends, at = np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64), 0
+    while at < len(column):
+        held = ends[at - 1] if at else 0
+        stop = min(int(np.searchsorted(ends, held + 7 * RUN_TOKENS)) + 1, len(column))
+        yield at, stop - at, Run(column.slice(at, stop - at))
+        at = stop
 
 
 def _count_words(batches: Batches) -> Batches:
@@ -285,6 +333,13 @@ class Model:
             if self.offsets[part] < self.offsets[part + 1]:
                 yield part, at[a:b]
 
+    def of_contexts(self, pairs: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Each part that has contexts of some sorted pairs, and where these are."""
+        edges = np.searchsorted(pairs >> np.uint64(32), np.array(self.offsets, np.uint64)).tolist()
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                yield part, slice(a, b)
+
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each word."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -345,6 +400,11 @@ def summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[first], np.add.reduceat(counts[order], first)
 
 
+def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Pairs of word numbers as one number each."""
+    return (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+
+
 def _count_pairs(model: Model):
     """Rows of ``part`` and a block of pairs: context's place in its part, then word number."""
 
@@ -352,14 +412,12 @@ def _count_pairs(model: Model):
         for batch in batches:
             for _, _, run in runs(batch):
                 number, _ = model.lookup(run.hashes)
-                place = number - np.array(model.offsets)[model.part(run.hashes)]
-                before = run.contexts()
-                pairs = (place[before].astype(np.uint64) << np.uint64(32)) | number[run.codes].astype(np.uint64)
+                found, counts = np.unique(joined(number[run.contexts()], number[run.codes]), return_counts=True)
                 parts, blocks = [], []
-                for part, at in model.by_part(run.hashes[before]):
-                    found = np.unique(pairs[at], return_counts=True)
+                for part, at in model.of_contexts(found):
                     parts.append(part)
-                    blocks.append(squeeze(found[0], found[1].astype(np.uint64)))
+                    own = found[at] - (np.uint64(model.offsets[part]) << np.uint64(32))
+                    blocks.append(squeeze(own, counts[at].astype(np.uint64)))
                 yield batch_of([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     return count
@@ -463,30 +521,43 @@ class Successors:
         base[some] = self.successor.get(first[some] - 1) + np.uint64(1)
         return first, last, base
 
+    def probabilities(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each of some sorted pairs of context's place and
+        word number; NaN where the model has no such pair."""
+        context, word = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        own = np.cumsum(new) - 1
+        first, last, base = self.ranges(context[new])
+        at = self.successor.find(base[own] + word, first[own], last[own])
+        out = np.full(len(pairs), np.nan)
+        out[at >= 0] = restored(self.sections, "probability", at[at >= 0])
+        return out
+
 
 def score_run(model: Model, run: Run) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base score and score of each text of a run."""
     number, count = model.lookup(run.hashes)
     single = model.single(count)
     rest = np.zeros(len(number))
-    first, last = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    base = np.zeros(len(number), np.uint64)
-    known = np.flatnonzero(number >= 0)
     place = number - np.array(model.offsets)[model.part(run.hashes)]
-    for part, at in model.by_part(run.hashes, known):
-        level = Successors(_mapped(model.folder, f"pairs-{part}"))
-        first[at], last[at], base[at] = level.ranges(place[at])
-        rest[at] = restored(level.sections, "rest", place[at])
+    for part, at in model.by_part(run.hashes, np.flatnonzero(number >= 0)):
+        rest[at] = restored(_mapped(model.folder, f"pairs-{part}"), "rest", place[at])
     before = run.contexts()
     value = rest[before] + single[run.codes]
-    ask = np.flatnonzero((last[before] > first[before]) & (number[run.codes] >= 0))
-    context = before[ask]
-    for part, at in model.by_part(run.hashes[context]):
+    known = number >= 0
+    ask = np.flatnonzero(known[before] & known[run.codes])
+    # each pair is asked for once, in the order in which the files have them
+    pairs = joined(number[before[ask]], number[run.codes[ask]])
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    first = np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)]
+    pairs, times = pairs[first], np.cumsum(first) - 1
+    found = np.full(len(pairs), np.nan)
+    for part, at in model.of_contexts(pairs):
         level = Successors(_mapped(model.folder, f"pairs-{part}"))
-        own, word = context[at], run.codes[ask[at]]
-        found = level.successor.find(base[own] + number[word].astype(np.uint64), first[own], last[own])
-        hit = found >= 0
-        value[ask[at[hit]]] = restored(level.sections, "probability", found[hit])
+        found[at] = level.probabilities(pairs[at] - (np.uint64(model.offsets[part]) << np.uint64(32)))
+    hit = ~np.isnan(found)[times]
+    value[ask[order[hit]]] = found[times[hit]]
     sums = lambda x: np.add.reduceat(x, run.starts)
     return run.sizes, sums((count[run.codes] > 0).astype(np.int64)), sums(single[run.codes]), sums(value)
 

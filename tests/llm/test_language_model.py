@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,31 @@ def test_query(spark):
         assert row["score"] == pytest.approx(plain.score(text), abs=2e-4 * len(t))
     held = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_each_pair_of_a_run_is_looked_up_once(spark, documents, monkeypatch):
+    given = ["a b c a b d", "b c a d", "a\tb  c A b"]
+    model = lm.train(documents(list(enumerate(given))))
+    asked, find = [], lm.Sequence.find
+
+    def counted(self, keys, first=None, last=None):
+        asked.append(0 if first is None else len(keys))
+        return find(self, keys, first, last)
+
+    monkeypatch.setattr(lm.Sequence, "find", counted)
+    run = lm.Run(pa.array(given * 500))
+    scores = lm.score_run(model, run)[3]
+    distinct = {p for t in given for p in zip(["BEGIN", *tokens(t)], tokens(t))}
+    assert 0 < sum(asked) <= len(distinct)
+    plain = Plain(given)
+    assert scores.tolist() == pytest.approx([plain.score(t) for t in given] * 500, abs=2e-3)
+
+
+def test_words_of_a_run_are_those_of_plain_splitting():
+    given = ["", " \t\n\x0b\x0c\r ", "A Zz ÄÖ  x y", "  b\x1cc\x85 d ", "a" * 70 + "\n" + "A" * 70, "\x00"]
+    run = lm.Run(pa.array(["left out", *given]).slice(1))
+    found = np.split(run.hashes[run.codes], run.starts[1:])
+    for text, own in zip(given, found):
+        words = [b"" if w == "END" else w for w in tokens(text)]
+        assert own.tolist() == lm.hash_words(words).tolist()
+    assert run.hashes[run.contexts()][run.starts].tolist() == lm.hash_words([lm.BEGIN] * len(given)).tolist()
