@@ -88,11 +88,21 @@ def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
     return batch_of([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
+def numbered(values: np.ndarray) -> np.ndarray:
+    """A small number for each value, the same for equal ones, without copies of all values
+    that ``np.unique`` would make."""
+    order = np.argsort(values)
+    values = values[order]
+    codes = np.zeros(len(values), np.int32)
+    codes[order[1:]] = np.cumsum(values[1:] != values[:-1], dtype=np.int32)
+    return codes
+
+
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect what is connected among some sets: a walk that compares each
     reached set only with those not reached yet."""
     sizes = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes = numbered(np.concatenate(sets))
     edges = np.concatenate(([0], np.cumsum(sizes)))
     todo, flat, links = np.arange(len(sets)), codes, []
     here = np.zeros(len(codes) + 1, bool)

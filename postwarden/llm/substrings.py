@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import cut_lineage
-from .common import Batches, as_bytes, batch_of, fresh, mapped, texts, words_of
+from .common import Batches, as_bytes, batch_of, fresh, kept_by_worker, mapped, texts, words_of
 
 #: Words of a window and of the gram that owns it.
 WINDOW, GRAM = 50, 12
@@ -42,16 +42,21 @@ class _Hashes(dict):
 
     held = 0
 
+    def empty(self) -> None:
+        self.clear()
+        self.held = 0
+
     def __missing__(self, word: bytes) -> int:
         self.held += 150 + len(word)
         if self.held > HELD:
-            self.clear()
-            self.held = 0
+            self.empty()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-_hash_of = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash_of = _hashes.__getitem__
+kept_by_worker(_hashes.empty)
 
 
 def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:

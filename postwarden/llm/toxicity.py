@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import Batches, batch_of, fresh, mapped, remainder, slices, table, texts
+from .common import Batches, batch_of, fresh, kept_by_worker, mapped, remainder, slices, table, texts
 
 #: Rows of labels that a fit uses at most, the first by a hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -78,6 +78,7 @@ def features(word: str) -> tuple[int, ...]:
 
 
 _features = lru_cache(HELD)(features)
+kept_by_worker(_features.cache_clear)
 
 
 def counted(words: set[str]) -> dict[int, int]:

@@ -5,7 +5,12 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
-from postwarden.llm import common, near, simhash
+import numpy as np
+import pyarrow as pa
+
+import corpus_pipeline
+from postwarden import session
+from postwarden.llm import common, near, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,3 +115,42 @@ def test_workers_give_back_what_they_freed():
     before = own()
     common.give_back()
     assert own() < before - 100_000 and len(kept) == 400
+
+
+def test_workers_empty_the_stores_of_other_operators():
+    def filled() -> int:
+        return toxicity._features.cache_info().currsize + len(substrings._hashes)
+
+    common.let_go("toxicity")
+    toxicity.counted({"some", "words"})
+    substrings.gram_hashes([b"a", b"b", b"c"], 2)
+    common.let_go("toxicity")
+    assert filled() > 0  # tasks of one operator go on with what it has
+    common.let_go("near")
+    assert filled() == 0 and substrings._hashes.held == 0
+
+
+def test_numbers_of_shingles():
+    for values in ([], [7], [5, 5], np.random.default_rng(8).integers(0, 50, 300)):
+        values = np.array(values, np.uint64)
+        assert near.numbered(values).tolist() == np.unique(values, return_inverse=True)[1].tolist()
+
+
+def test_stages_move_texts_in_small_parts(spark, documents, monkeypatch, tmp_path):
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    monkeypatch.setattr(session, "PART_BYTES", 50_000)
+    frame = documents([(i, f"w{i} " * 500) for i in range(400)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        corpus_pipeline.STAGES[1][1](spark, frame, "").write.parquet(str(tmp_path / "out"))
+        found = [r["n"] for r in frame.select("text").mapInArrow(sizes, "n long").collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sum(found) == 400 and max(found) < 60
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
