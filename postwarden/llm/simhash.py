@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 from .common import Batches, as_bytes, batch_of, fresh, mapped, texts, words_of
 from .components import components
 from .near import alike
@@ -404,10 +404,15 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = docs.filter(F.col("doc_id").isNotNull())
     # the operator names texts by their hash, as unlike texts may repeat a doc_id
     hashes = texts(plain).select(F.xxhash64("text").alias("doc_id"), "text")
-    groups = near_copies(hashes).select(F.col("doc_id").alias("text"), F.col("component_id").alias("group")).distinct()
-    found = alike(plain, groups)
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias(mark), F.col("first.text").alias(its)).distinct()
+
+    def chosen() -> DataFrame:
+        groups = near_copies(hashes).select(F.col("doc_id").alias("text"), F.col("component_id").alias("group"))
+        found = alike(plain, groups.distinct())
+        first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+        return first.select(F.col("first.doc_id").alias(mark), F.col("first.text").alias(its)).distinct()
+
+    # the sets of shingles take more disk than the texts, and nothing needs them from here on
+    kept = settled(chosen)
     hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     one = F.row_number().over(Window.partitionBy("doc_id", own).orderBy("doc_id"))
     same = (hashed["doc_id"] == kept[mark]) & (hashed[own] == kept[its])

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 from .common import Batches, as_bytes, batch_of, fresh, kept_by_worker, mapped, texts, words_of
 
 #: Words of a window and of the gram that owns it.
@@ -255,7 +255,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     each loses what a smaller doc_id has. Rows with a null doc_id lend and lose
     nothing. Texts shorter than a window keep all. An empty table gives no rows.
     """
-    passages = recurring_passages(docs, window, gram)
+    # the segments of all texts have served once their passages are known
+    passages = settled(lambda: recurring_passages(docs, window, gram))
     key, marks = fresh(docs, "passage_doc"), fresh(docs, "passages")
     gathered = passages.groupBy(F.col("doc_id").alias(key)).agg(
         F.collect_list(F.struct("phrase", "left", "size", "content", "low", "high")).alias(marks)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from test_pii import brute as brute_entities
 from test_substrings import brute as brute_passages
 
 import corpus_pipeline
-from postwarden.llm import toxicity
+from postwarden import session
+from postwarden.llm import simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -135,3 +138,18 @@ def test_near_copies_go_through_the_fingerprints(spark, documents, monkeypatch):
     monkeypatch.setattr(near, "BANDS", 0)
     kept = simhash.keep_first(spark, documents(rows), "").collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
+
+
+def test_stages_leave_only_the_scratch_that_their_results_read(spark, documents):
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([*(f"w{i}.{j}" for j in range(200)), *passage, f"end{i}"])) for i in range(20)]
+    rows += [(100 + i, t + " more") for i, t in rows]
+    docs = documents(rows)
+    for stage in (simhash.keep_first, substrings.drop_repeats):
+        before = set(os.listdir(folder))
+        found = stage(spark, docs, "")
+        left = set(os.listdir(folder)) - before
+        assert left == {Path(f).parent.name for f in found.inputFiles()} and len(left) == 1
+        ids = sorted(r["doc_id"] for r in found.collect())
+        assert ids == (list(range(20)) if stage is simhash.keep_first else sorted(i for i, _ in rows))
